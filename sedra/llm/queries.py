@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import mixing, quality, simhash, urls
 from .common import table
 
 
@@ -18,5 +18,30 @@ def op6_quality(spark, sf_dir):
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_quality": op6_quality}
-ORACLES: dict[str, str] = {}
+def op9_url_filters(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = r"""
+WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (
+  SELECT row_number() OVER () AS n, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+),
+parts AS (
+  SELECT n, page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+),
+fits AS (
+  SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+"""
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op9_url_filters": OP9_SQL}

@@ -171,7 +171,7 @@ def link_fingerprints(distinct: DataFrame, cap: int = 512) -> DataFrame:
             keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.lit(_signed(m)).bitwiseAND(F.col("fp")).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("k.mask", "k.key", "fp")
         else:
             lookup = F.array(*[F.lit(_signed(m)) for m in masks])
-            child = F.explode(F.array(*[F.col("mask") * 3 + k for k in range(3)])).cast("int")
+            child = F.explode(F.array(*[(F.col("mask") * 3 + k).cast("int") for k in range(3)]))
             keyed = rows.where("hot").select(F.col("a").alias("fp"), child.alias("mask")).distinct().select("mask", lookup[F.col("mask")].bitwiseAND(F.col("fp")).alias("key"), "fp")
         sorted_ = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
         rows = cut(sorted_.mapInArrow(_linker(cap if level < 2 else None), "a long, b long, mask int, hot boolean"))

@@ -45,7 +45,7 @@ def test_line_rules_and_loss():
     assert fails("NASA met.") == ""
     assert quality.judge(GOOD)[6]
     assert quality.judge(GOOD + "\nAll rights reserved.\nHome")[6:8] == (True, GOOD)
-    junk = "\n".join("Buy*** this%%% now&&& number%d$$$ and### more!!!" % i for i in range(30))
+    junk = "\n".join(f"Buy*** this%%% now&&& number{i}$$$ and### more!!!" for i in range(30))
     assert not quality.judge(junk)[6]
     assert not quality.judge(GOOD + "\n" + junk)[6]
 
