@@ -1,0 +1,79 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from sedra.llm import pii
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found int, body string"
+TEXT = (
+    'Mail jane.doe7@Mail3.example.com or JANE.DOE7@mail3.example.com, call +1 (441) 555-3597 or 441-555-3597. Card 4111 1111 1111 1111, 2390409500648960; '
+    'host 152.143.123.131. token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" Mr. John Smith met Mrs. Maria Smith, Dr. Smith and Frau Müller. SSN 123-45-6789 on 2024-01-05.'
+)
+
+
+def luhn_ok(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def shape(s):
+    return re.sub(r"[A-ZÄÖÜ]", "A", re.sub(r"[a-zäöüß]", "a", re.sub(r"\d", "0", s)))
+
+
+def run(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, 1, "b") for i, t in enumerate(texts)], SCHEMA)
+    return df, {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+
+
+def test_format_coreference_and_distinctness(spark):
+    df, got = run(spark, [TEXT, "nothing here", None, "", TEXT, "a@b.co", "\u0001 x@y.org \u0001"])
+    r = got[0]
+    assert r.kinds == ["email", "email", "phone", "phone", "card", "card", "ip", "secret", "name", "name", "name", "name", "ssn"]
+    s = r.surrogates
+    assert s[0].lower() == s[1].lower() and s[0] != s[1] and s[0].endswith(".com") and "@" in s[0]
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert s[2].startswith("+1 (") and digits(s[2])[1:] == digits(s[3])
+    assert luhn_ok(s[4]) and not luhn_ok(s[5]) and shape(s[4]) == "0000 0000 0000 0000"
+    assert all(0 <= int(x) < 256 for x in s[6].split("."))
+    assert s[7].startswith('token = "') and re.fullmatch(r"[0-9a-f]{40}", s[7][9:])
+    assert s[8].startswith("Mr. ") and s[9].startswith("Mrs. ") and s[9].split()[1].endswith("a")
+    assert s[8].split()[-1] == s[9].split()[-1] == s[10].split()[-1] != "Smith"
+    assert s[11].startswith("Frau ") and r.distinct_ok and "2024-01-05" in r.text
+    for old in ("jane", "555-3597", "4111", "2390409500648960", "152.143", "24be64", "John", "Smith", "Müller", "6789"):
+        assert old not in r.text
+    assert re.sub(r"[\w]", "", r.text.split("host")[0]) == re.sub(r"[\w]", "", TEXT.split("host")[0])
+    assert (got[1].text, got[1].n_entities, got[2].text, got[3].text) == ("nothing here", 0, None, "")
+    assert got[4].text == r.text and got[6].text.startswith("\u0001 ") and "x@y" not in got[6].text
+    assert pii.collisions(df).count() == 0
+    out = pii.pseudonymise(df)
+    assert out.columns == df.columns
+    rows = {x.doc_id: x for x in out.collect()}
+    assert all(rows[i].text == got[i].text and rows[i].n_chars == (len(got[i].text) if got[i].text is not None else None) for i in got)
+
+
+def test_cipher_is_a_permutation(spark):
+    rng = random.Random(5)
+    two = ["%02d" % i for i in range(100)]
+    many = list({"".join(rng.choice("abz019.-") for _ in range(rng.randint(1, 4))) for _ in range(1500)})
+    for values in (two, many):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        out = {r.v: r.c for r in df.select("v", pii.cipher(F.col("v"), "k").alias("c")).collect()}
+        assert len(set(out.values())) == len(values)
+        assert all(shape(a) == shape(b) for a, b in out.items())
+    other = {r.v: r.c for r in df.select("v", pii.cipher(F.col("v"), "k", "another key").alias("c")).collect()}
+    assert other != out
+
+
+def test_cards_and_addresses_stay_distinct(spark):
+    cards = ["%016d" % (4000000000000000 + i) for i in range(300)]
+    hosts = ["10.0.%d.%d" % (i // 50, i % 50) for i in range(300)]
+    df = spark.createDataFrame([(c, h) for c, h in zip(cards, hosts)], "c string, h string")
+    rows = df.select("c", pii.surrogate(F.col("c"), F.lit("card")).alias("x"), pii.surrogate(F.col("h"), F.lit("ip")).alias("y")).collect()
+    assert len({r.x for r in rows}) == 300 and len({r.y for r in rows}) == 300
+    assert all(luhn_ok(r.c) == luhn_ok(r.x) for r in rows)
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert pii.pseudonymised(df).count() == 0 and pii.pseudonymise(df).count() == 0
