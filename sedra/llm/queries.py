@@ -4,8 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, simhash, urls
-from .common import table
+from . import decontaminate, language, mixing, pii, quality, simhash, token_counts, toxicity, urls
+from .common import crc32_mod, table
+
+
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc32_mod("doc_id", 5) != 0))
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clause_weight", "n_clauses", "threat")
+
+
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(crc32_mod("doc_id", 4) != 2))
+    held_out = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op3_pii(spark, sf_dir):
@@ -51,5 +70,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op1_token_counts": op1_token_counts, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op9_url_filters": OP9_SQL}
