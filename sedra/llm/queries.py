@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, pii, quality, simhash, token_counts, toxicity, urls
+from . import decontaminate, html_text, language, mixing, pii, quality, simhash, token_counts, toxicity, urls
 from .common import crc32_mod, table
 
 
@@ -12,6 +12,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(crc32_mod("doc_id", 5) != 0))
@@ -70,5 +74,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op9_url_filters": OP9_SQL}
