@@ -8,7 +8,8 @@ found by maximum flow after all nodes whose own evidence outweighs their edges a
 Text is the content blocks in page order: character references decoded, white space inside a block turned
 into one space, trimmed, blocks joined by one space; nothing else is dropped or capped. Null, empty and
 textless pages give an empty text. Broken markup is read as browsers do: unclosed elements end with their
-parents, stray end tags are ignored, a tag cut off at the end of the page is no text.
+parents, stray end tags are ignored, a tag cut off at the end of the page is no text. A tag with an unclosed
+quote ends at its next `>`.
 """
 
 from __future__ import annotations
