@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # What counts as punctuation.
 PUNCTUATION = string.punctuation + "“”‘’–—…«»"
 
+#: What counts as white space in Unicode.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: Boundaries of a word in any script; Java's and RE2's \b differ from each other outside ASCII.
 BEFORE, AFTER = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
 
@@ -37,14 +40,16 @@ def tokens(text: Column, lowercase: bool = True, remove_punctuation: bool = True
     """Array of tokens; null and blank texts give an empty one.
 
     segmenter: a function from the cleaned text column to one with multi-word terms joined by underscores,
-    say a pandas UDF around a segmentation model; identity by default.
+    say a pandas UDF around a segmentation model. Without one no regular expression is needed: white space
+    and punctuation become spaces, character by character, and the text is cut at single spaces.
     """
-    text = cleaned(F.coalesce(text, F.lit("")), lowercase, remove_punctuation)
-    parts = F.split(segmenter(text) if segmenter else text, r"(?U)\s+")
-    keep = F.filter(parts, lambda t: t != "")
-    if remove_punctuation:
-        keep = F.filter(keep, lambda t: ~t.rlike(r"^\p{Punct}+$"))
-    return keep
+    text = F.coalesce(text, F.lit(""))
+    if segmenter:
+        parts = F.filter(F.split(segmenter(cleaned(text, lowercase, remove_punctuation)), r"(?U)\s+"), lambda t: t != "")
+        return F.filter(parts, lambda t: ~t.rlike(r"^\p{Punct}+$")) if remove_punctuation else parts
+    gone = SPACES + (PUNCTUATION if remove_punctuation else "")
+    plain = F.translate(F.lower(text) if lowercase else text, gone, " " * len(gone))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def word(pattern: str) -> str:

@@ -10,10 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.text import tokens
+from ..plans.stages import ship, staged
 
 
 @dataclass(frozen=True)
@@ -66,6 +72,12 @@ class Index:
     stats: DataFrame
 
 
+#: Rows of query terms that may be broadcast; beyond that they are shuffled.
+MAX_BROADCAST_TERMS = 100_000
+
+#: A block of queries: so many of them and of their terms at most.
+BLOCK_QUERIES, BLOCK_TERMS = 1024, 20_000
+
 TABLES = ("tf", "doclen", "idf", "stats")
 
 
@@ -113,21 +125,28 @@ def query_terms(queries: DataFrame, query_id: str, query_text: str, segmenter=No
     return terms.groupBy("query", "term").agg(F.count("*").alias("qf"))
 
 
-def score(index: Index, terms: DataFrame, model: Bm25, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def score(hits: DataFrame, known: DataFrame, stats: DataFrame, model: Bm25) -> tuple[DataFrame, DataFrame]:
     """((query, doc, pos, score) of matching documents, (query, base): the score of all others).
 
-    docs: (doc) the documents to score, e.g. those that pass a filter; the statistics stay the index's.
+    hits (doc, pos, dl, term, tf); known (query, term, qf, idf).
     """
-    known = terms.join(index.idf, "term")
     base = known.groupBy("query").agg(F.sum(F.col("qf") * F.col("idf") * F.lit(model.absent)).alias("base"))
-    doclen = index.doclen if docs is None else index.doclen.join(docs.select("doc"), "doc", "left_semi")
     norm = F.lit(1.0 - model.b) + F.lit(model.b) * F.col("dl") / F.col("avgdl")
     gain = F.col("qf") * F.col("idf") * (model.part(F.col("tf").cast("double"), norm) - F.lit(model.absent))
-    hits = index.tf.join(known, "term").join(doclen, "doc").crossJoin(F.broadcast(index.stats))
-    sums = hits.groupBy("query", "doc", "pos").agg(F.sum(gain).alias("gain"))
+    rows = hits.join(known, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    sums = rows.groupBy("query", "doc", "pos").agg(F.sum(gain).alias("gain"))
     return sums.join(base, "query").select("query", "doc", "pos", (F.col("gain") + F.col("base")).alias("score")), base
 
 
+def known_terms(terms: DataFrame, idf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query, term, qf, idf), (term)) of the queries; both broadcast if there are few enough, by a count."""
+    known = staged(terms.join(idf.select("term", "idf"), "term"))
+    asked = known.select("term").distinct()
+    if known.count() > MAX_BROADCAST_TERMS:
+        return known, asked
+    return F.broadcast(known), F.broadcast(asked)
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query by rounded score, ties in corpus order, with rank."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
@@ -135,39 +154,138 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return rows.where(F.col("rank") <= k).select("query", "doc", "rank", "score")
 
 
+def _padded(scored: DataFrame, base: DataFrame, terms: DataFrame, doclen: DataFrame, k: int) -> DataFrame:
+    """scored, and documents without a query term for the queries where they can be among the best k.
+
+    Those are the queries of which fewer than k matches score at least as much as no match does. Of the first
+    k + m documents, m at most match, so the k first others are among them. m is below k unless the mean idf
+    is negative, where most terms stand in most documents.
+    """
+    found = scored.join(base, "query").groupBy("query").agg(F.count("*").alias("m"), F.sum((F.col("score") >= F.col("base")).cast("long")).alias("good"))
+    short = staged(terms.select("query").distinct().join(found, "query", "left").where(F.coalesce("good", F.lit(0)) < k).select("query", F.coalesce("m", F.lit(0)).alias("m")))
+    most = short.agg(F.max("m")).first()[0]
+    if most is None:
+        return scored
+    first = doclen.orderBy("pos").limit(k + most).select("doc", "pos")
+    others = short.select("query").crossJoin(first).join(scored.select("query", "doc"), ["query", "doc"], "left_anti")  # k + m rows a query
+    others = others.join(base, "query", "left").select("query", "doc", "pos", F.coalesce("base", F.lit(0.0)).alias("score"))
+    return scored.unionByName(others)
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, model: Bm25 = Bm25(), query_id: str = "query_id", query_text: str = "text", docs: DataFrame | None = None, pad_zero: bool = True, segmenter=None) -> DataFrame:
     """(query, doc, rank, score): k documents for each query that has a token.
 
-    pad_zero: documents without a query term fill up to k in corpus order. A query with m < k matches takes
-    them from the first 2k documents, of which m at most match.
+    docs: (doc) the documents to score, e.g. those that pass a filter; the statistics stay the index's.
+    pad_zero: documents without a query term fill up to k in corpus order.
     """
     terms = query_terms(queries, query_id, query_text, segmenter)
-    scored, base = score(index, terms, model, docs)
+    doclen = index.doclen if docs is None else index.doclen.join(docs.select("doc"), "doc", "left_semi")
+    known, asked = known_terms(terms, index.idf)
+    hits = index.tf.join(asked, "term", "left_semi").join(doclen, "doc")
+    scored, base = score(hits, known, index.stats, model)
     if not pad_zero:
         return ranked(scored, k)
-    asked = terms.select("query").distinct()
-    found = scored.groupBy("query").agg(F.count("*").alias("m"))
-    short = asked.join(found, "query", "left").where(F.coalesce("m", F.lit(0)) < k).select("query")
-    doclen = index.doclen if docs is None else index.doclen.join(docs.select("doc"), "doc", "left_semi")
-    first = doclen.orderBy("pos").limit(2 * k).select("doc", "pos")
-    others = short.crossJoin(F.broadcast(first)).join(scored.select("query", "doc"), ["query", "doc"], "left_anti")
-    others = others.join(base, "query", "left").select("query", "doc", "pos", F.coalesce("base", F.lit(0.0)).alias("score"))
-    return ranked(scored.unionByName(others), k)
+    scored = staged(scored)
+    return ranked(_padded(scored, base, terms, doclen, k), k)
+
 
+def _best_of_blocks(side: DataFrame, known: list, avgdl: float, k: int, model: Bm25) -> DataFrame:
+    """(query, doc, pos, score): of each partition the k best documents for each query of the blocks.
 
-def search_text(docs: DataFrame, queries: DataFrame, k: int = 10, model: Bm25 = Bm25(), id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", keep: Column | None = None, pad_zero: bool = False) -> DataFrame:
-    """search without a stored index: only document frequencies cover the whole vocabulary; term frequencies are
-    counted inside each document, for the queries' terms alone. keep: a filter on the columns of docs.
+    A batch of documents becomes a matrix of term weights, a block of queries one of query weights; their
+    product are the scores. So no pair of document and query becomes a row unless it is among the best.
+    """
+    spark = side.sparkSession
+    ship(spark)
+    by_query: dict = {}
+    for r in known:
+        by_query.setdefault(r["query"], []).append(r)
+    blocks, size = [[]], 0
+    for q in sorted(by_query):
+        if size and (size + len(by_query[q]) > BLOCK_TERMS or len(blocks[-1]) >= BLOCK_QUERIES):
+            blocks.append([])
+            size = 0
+        blocks[-1].append(q)
+        size += len(by_query[q])
+    kind = next(f.dataType for f in side.schema.fields if f.name == "doc")
+    lists = []
+    for block in (x for x in blocks if x):
+        rows = [r for q in block for r in by_query[q]]
+        terms = sorted({r["term"] for r in rows})
+        at, of = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(block)}
+        weight = np.zeros((len(terms), len(block)))
+        for r in rows:
+            weight[at[r["term"]], of[r["query"]]] = r["qf"] * r["idf"]
+        there = np.zeros(weight.shape, np.float32)
+        there[[at[r["term"]] for r in rows], [of[r["query"]] for r in rows]] = 1
+        shared = spark.sparkContext.broadcast((terms, weight, there))
+        query_type = pa.array(block).type
+        out = T.StructType([T.StructField("query", from_arrow_type(query_type)), T.StructField("doc", kind), T.StructField("score", T.DoubleType())])
+        lists.append(side.select("doc", "dl", "terms").mapInArrow(_scorer(shared, block, avgdl, k, model), out))
+    return reduce(DataFrame.unionByName, lists).withColumn("pos", F.col("doc"))
+
+
+def _scorer(shared, block: list, avgdl: float, k: int, model: Bm25):
+    def run(batches):
+        terms, weight, there = shared.value
+        known, base = pa.array(terms, pa.string()), weight.sum(axis=0) * model.absent
+        rows_at_once = max(1, 4_000_000 // max(1, len(terms)))
+        best: dict = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                b = whole.slice(start, rows_at_once)
+                lists = b.column(2)
+                code = pc.index_in(lists.flatten(), value_set=known)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                hit = code.is_valid().to_numpy(zero_copy_only=False)
+                code = code.fill_null(0).to_numpy(zero_copy_only=False)[hit]
+                tf = np.bincount(row[hit] * len(terms) + code, minlength=b.num_rows * len(terms)).reshape(b.num_rows, len(terms))
+                norm = (1.0 - model.b + model.b * b.column(1).to_numpy(zero_copy_only=False) / avgdl)[:, None]
+                part = np.zeros(tf.shape)
+                r, c = np.nonzero(tf)
+                part[r, c] = model.part(tf[r, c].astype(float), norm[r, 0]) - model.absent
+                score = np.round(part @ weight + base, 6) + 0.0
+                score[((tf > 0).astype(np.float32) @ there) == 0] = -np.inf
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for j in range(len(block)):
+                    s = score[:, j]
+                    keep = np.flatnonzero(s > -np.inf)
+                    if len(keep) > k:
+                        keep = keep[s[keep] >= np.partition(s[keep], -k)[-k]]
+                    i, v = ids[keep], s[keep]
+                    if j in best:
+                        i, v = np.concatenate([best[j][0], i]), np.concatenate([best[j][1], v])
+                    order = np.lexsort((i, -v))[:k]
+                    best[j] = i[order], v[order]
+        for j, (i, v) in best.items():
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array([block[j]] * len(i)), pa.array(i), pa.array(v)], ["query", "doc", "score"])
+
+    return run
+
+
+def search_text(docs: DataFrame, queries: DataFrame, k: int = 10, model: Bm25 = Bm25(), id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", keep: Column | None = None) -> DataFrame:
+    """search without a stored index, in two passes over the texts.
+
+    The first counts in how many documents each term occurs, and in the row of the null term all documents
+    and their length; this table is staged, as the vocabulary is small beside the corpus. The second scores
+    documents against blocks of queries and keeps each partition's best. With more query terms than
+    MAX_BROADCAST_TERMS it joins terms with documents instead, and shuffles. keep: a filter on the columns of
+    docs, for the second pass only.
     """
     parsed = tokenised(docs, id_col, text_col)
-    stats = statistics(parsed)
-    frequencies = parsed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    terms = query_terms(queries, query_id, query_text)
-    asked = terms.select("term").distinct()
+    each = parsed.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"), "dl")
+    counts = staged(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
+    stats = counts.where("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    idf = idf_table(counts.where("term is not null").select("term", "df"), stats, model)
+    known = staged(query_terms(queries, query_id, query_text).join(idf.select("term", "idf"), "term"))
     side = tokenised(docs.where(keep), id_col, text_col) if keep is not None else parsed
-    hits = side.select("doc", F.explode("terms").alias("term")).join(asked, "term", "left_semi")
-    index = Index(hits.groupBy("doc", "term").agg(F.count("*").alias("tf")), parsed.select("doc", "pos", "dl"), idf_table(frequencies, stats, model), stats)
-    return search(index, queries, k, model, query_id, query_text, docs=side.select("doc") if keep is not None else None, pad_zero=pad_zero)
+    n, about = known.count(), stats.first()
+    if 0 < n <= MAX_BROADCAST_TERMS and about is not None:
+        return ranked(_best_of_blocks(side, known.collect(), about.avgdl, k, model), k)
+    hits = side.select("doc", "pos", "dl", F.explode("terms").alias("term")).join(known.select("term").distinct(), "term", "left_semi")
+    hits = hits.groupBy("doc", "pos", "dl", "term").agg(F.count("*").alias("tf"))
+    return ranked(score(hits, known, stats, model)[0], k)
 
 
 def union_ranked(*lists: DataFrame) -> DataFrame:

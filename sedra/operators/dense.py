@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.stages import ship
+
 METRICS = ("cosine", "ip", "l2")
 
 
@@ -41,6 +43,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     spark = vectors.sparkSession
+    ship(spark)
     asked = queries.select(F.col(query_id).alias("query"), F.col(query_vec).cast("array<double>").alias("v")).where("v is not null")
     rows = vectors if keep is None else vectors.where(keep)
     rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")

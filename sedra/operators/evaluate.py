@@ -73,10 +73,11 @@ def expected_fines(text: Column) -> Column:
 
 def expected_citations(text: Column) -> Column:
     """Distinct tags: dieu_<n>, khoan_<n>, diem_<x>, QCVN_41, LUAT_TTATGT."""
-    tags = [
-        F.transform(F.regexp_extract_all(text, F.lit(rf"(?iu){name}\s+({what})"), F.lit(1)), lambda x, tag=tag: F.concat(F.lit(f"{tag}_"), F.lower(x)))
-        for name, what, tag in (("Điều", r"\d+", "dieu"), ("Khoản", r"\d+", "khoan"), ("Điểm", "[a-zđ]", "diem"))
-    ]
+
+    def level(name: str, what: str, tag: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(rf"(?iu){name}\s+({what})"), F.lit(1)), lambda x: F.concat(F.lit(f"{tag}_"), F.lower(x)))
+
+    tags = [level("Điều", r"\d+", "dieu"), level("Khoản", r"\d+", "khoan"), level("Điểm", "[a-zđ]", "diem")]
     law = F.when(F.contains(text, F.lit("TTATGT")) | F.contains(F.lower(text), F.lit("trật tự")), "LUAT_TTATGT")
     return F.array_distinct(F.array_compact(F.concat(*tags, F.array(F.when(F.contains(text, F.lit("QCVN 41")), "QCVN_41"), law))))
 

@@ -1,15 +1,38 @@
-"""Stage boundaries: a table that several branches of a plan use is computed once and kept in the shared folder."""
+"""Stage boundaries, and this package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir; a local one only if it names none."""
+    """df computed once for the several branches that read it.
+
+    A reliable checkpoint in the folder that the session names in spark.checkpoint.dir; a local one only if it names none.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each SparkContext, so that its functions unpickle there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sedra_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="sedra-"), "sedra_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(top):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._sedra_shipped = True

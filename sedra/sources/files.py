@@ -9,6 +9,8 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import ship
+
 ARTICLES = ["chapter_number", "chapter_title", "article_number", "article_title", "content", "doc_short", "source_doc"]
 PAIRS = "query string, positive_chunk_id string, extra_positive_ids array<string>, manual_negative_ids array<string>"
 
@@ -69,6 +71,7 @@ def read_binary_pages(spark: SparkSession, path: str, parser: Callable[[bytes],
             rows = [(r.path, i, t) for r in f.itertuples() for i, t in enumerate(parser(bytes(r.content)), 1)]
             yield pd.DataFrame(rows, columns=["path", "page_num", "text"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInPandas(run, "path string, page_num int, text string")
 
@@ -94,6 +97,7 @@ def read_tables(spark: SparkSession, path: str, parser: Callable[[bytes], list[t
                     out.append((f"{doc_short}__page{page}__t{n[page]}", page, rows))
             yield pd.DataFrame(out, columns=["table_id", "page_num", "rows"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("content").mapInPandas(run, "table_id string, page_num int, rows array<array<string>>")
 
