@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import ship  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,24 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each SparkContext, so that its functions unpickle there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_sedra_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="sedra-"), "sedra_package.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, dirs, files in os.walk(top):
-            dirs[:] = [d for d in dirs if d != "__pycache__"]
-            for f in files:
-                if f.endswith((".py", ".json")):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._sedra_shipped = True
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -63,18 +45,3 @@ def crc32_mod(column: str, n: int):
 def texts(batch: pa.RecordBatch, column: str) -> list:
     """The column as a list of str or None."""
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def small_batches(rows: int):
-    """Arrow batches of so many rows at most, so that long texts don't pile up in a worker."""
-
-    def split(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, rows):
-                yield b.slice(i, rows)
-
-    return split

@@ -74,5 +74,28 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_ENDS = ", ".join("'" + c.replace("'", "''") + "'" for c in quality.TERMINAL)
+_WS = r"[\x20\x09-\x0D]"
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT n, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+each_ AS (SELECT n, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+three AS (SELECT n, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM each_ WINDOW o AS (PARTITION BY n ORDER BY i)),
+twice AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c) AS k FROM three WHERE c IS NOT NULL) WHERE k > 1),
+repeated AS (SELECT n, count(*) AS n_repeat_words FROM (SELECT DISTINCT n, i + o AS at FROM twice, (VALUES (0), (1), (2)) t(o)) GROUP BY n),
+lines AS (SELECT n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w),
+counted AS (SELECT n, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS capitals,
+  length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, right(regexp_replace(line, '{_WS}+$', ''), 1) AS last_char FROM lines),
+judged AS (SELECT n, nw, row_number() OVER (PARTITION BY n, line ORDER BY i) > 1 AS dup,
+  symbols > 0.3::DOUBLE * nw OR (letters >= 12 AND capitals > 0.6::DOUBLE * letters) OR (nw <= 4 AND last_char NOT IN ({_ENDS})) OR (nw <= 40 AND regexp_matches(line, '(?i){quality.BOILERPLATE.pattern}')) AS fails
+  FROM counted WHERE nw > 0),
+by_doc AS (SELECT n, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(nw) FILTER (WHERE fails), 0) AS lost FROM judged GROUP BY n),
+base AS (SELECT n, doc_id, len(ws) AS n_words, length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM w LEFT JOIN by_doc USING (n) LEFT JOIN repeated USING (n))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.4::DOUBLE * n_words AS kept, CAST(lost AS BIGINT) AS n_lost_words FROM base
+"""
+
+
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {"op9_url_filters": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_quality": OP6_SQL, "op9_url_filters": OP9_SQL}

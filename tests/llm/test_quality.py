@@ -43,6 +43,7 @@ def test_line_rules_and_loss():
     assert fails("This work is licensed under the Creative Commons License.") == "boilerplate"
     assert fails("The committee met and agreed.") == ""
     assert fails("NASA met.") == ""
+    assert fails("ÉTÉ ÀÇÔÛ ÄÖÜÑ ÉÈÊË et.") == "capitals" and fails("été àçôû äöüñ éèêë Et.") == "" and fails("normal words first, " * 6 + "THEN ALL OF IT IN LARGE LETTERS " * 9 + ".") == "capitals"
     assert quality.judge(GOOD)[6]
     assert quality.judge(GOOD + "\nAll rights reserved.\nHome")[6:8] == (True, GOOD)
     junk = "\n".join(f"Buy*** this%%% now&&& number{i}$$$ and### more!!!" for i in range(30))
