@@ -136,9 +136,14 @@ class Model:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_fit: int) -> DataFrame:
     """(text, lang) of max_fit rows at most: of each language those with the smallest hash of their id."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("of")).withColumn("h", F.xxhash64("id"))
-    n = labelled.select("of").distinct().count()
-    first = Window.partitionBy("of").orderBy("h")
-    ranked = labelled.select("of", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(1, max_fit // max(1, n)))
+    sizes = labelled.groupBy("of").agg(F.count("*").alias("size"))
+    n = sizes.count()
+    most = max(1, max_fit // max(1, n))
+    # Hashes are uniform: a language's first ones lie below a bound that its size gives, so few rows are ranked.
+    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * most + 100.0) / F.col("size"))
+    sizes = sizes.select(F.col("of").alias("name"), bound.alias("bound"))
+    low = labelled.select("of", "h").join(F.broadcast(sizes) if n <= 10_000 else sizes, F.col("of") == F.col("name")).where("h <= bound").select("of", "h").distinct()
+    ranked = low.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("h"))).where(F.col("k") <= most)
     limits = ranked.groupBy("of").agg(F.max("h").alias("last")).withColumnRenamed("of", "name")
     chosen = labelled.join(F.broadcast(limits) if n <= 10_000 else limits, F.col("of") == F.col("name")).where("h <= last")
     return chosen.dropDuplicates(["id", "of"]).select("body", "of")
