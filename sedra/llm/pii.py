@@ -1,6 +1,6 @@
 """PII: keyed surrogates for detected entities, by DataFrame functions only.
 
-One pattern finds e-mail addresses, secrets, IP addresses, card numbers, phone numbers, account numbers and
+One pattern finds e-mail addresses, secrets and keys, IP addresses, card numbers, phone numbers, account numbers and
 titled names. The text is cut at the matches and joined again with a surrogate in each match's place, row by
 row: nothing is shuffled and no table of entities is needed.
 
@@ -35,11 +35,13 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@(?:[\p{L}\p{M}0-9\-]+\.)+\p{L}{2,}",
     "secret": r"(?<![\p{L}0-9])" + _SECRET_NAME + r"[A-Za-z0-9_\-/+=.]{8,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
+    "ipv6": r"(?<![\p{L}0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}0-9:])",
+    "key": r"(?<![\p{L}0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,})(?![\p{L}0-9])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "card": r"(?<![\p{L}0-9+])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,5}|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![\p{L}0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "hex": r"(?<![\p{L}0-9])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![\p{L}0-9])",
+    "hex": r"(?<![\p{L}0-9])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}0-9])",
     "name": rf"(?<![\p{{L}}0-9])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]*(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}",
 }
 PATTERN = "|".join(PATTERNS.values())
@@ -154,6 +156,8 @@ def surrogate(m: Column, kind: Column, key: str = KEY) -> Column:
     make = {
         "email": _email, "secret": _secret, "ip": _ip, "card": _card, "phone": _phone, "name": _name,
         "hex": lambda x, k: cipher(x, "hex", k, HEX), "ssn": lambda x, k: cipher(x, "ssn", k, [DIGITS]),
+        "ipv6": lambda x, k: cipher(x, "ipv6", k, HEX),
+        "key": lambda x, k: F.concat(F.regexp_extract(x, "^(AKIA|ASIA|gh._|sk-)", 1), cipher(F.regexp_replace(x, "^(?:AKIA|ASIA|gh._|sk-)", ""), "key", k)),
         "iban": lambda x, k: F.concat(F.substring(x, 1, 2), cipher(F.substring(x, F.lit(3), F.length(x)), "iban", k)),
     }
     out = None
