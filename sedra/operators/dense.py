@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,45 @@ def add(current: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
     counted = current.unionByName(new).withColumn("__n", F.count("*").over(Window.partitionBy(key)))
     checked = F.assert_true(F.col("__n") == 1, F.lit(f"{key} exists already"))
     return counted.where(checked.isNull()).drop("__n")
+
+
+class VectorTable:
+    """Vectors kept as Parquet, in numbered versions: a reader never sees half of a change."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "vec_id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    def _versions(self) -> list[int]:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
+        done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
+
+    def read(self) -> DataFrame | None:
+        have = self._versions()
+        return self.spark.read.parquet(f"{self.path}/v={have[-1]}") if have else None
+
+    def _write(self, df: DataFrame) -> None:
+        """The next version; what a failed write left there goes."""
+        df.write.mode("overwrite").parquet(f"{self.path}/v={(self._versions() or [0])[-1] + 1}")
+
+    def upsert(self, new: DataFrame) -> None:
+        have = self.read()
+        self._write(new.dropDuplicates([self.key]) if have is None else upsert(have, new, self.key))
+
+    def add(self, new: DataFrame) -> None:
+        have = self.read()
+        self._write(add(new.limit(0) if have is None else have, new, self.key))
+
+    def count(self) -> int:
+        """0 where nothing is kept."""
+        have = self.read()
+        return 0 if have is None else have.count()
+
+    def reset(self) -> None:
+        """An empty version, if there is any."""
+        if (have := self.read()) is not None:
+            self._write(have.limit(0))

@@ -207,5 +207,16 @@ def first_hit(run: DataFrame, gold: DataFrame) -> DataFrame:
     return run.join(gold.select("query", "doc").distinct(), ["query", "doc"]).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+JUDGED = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
+
+def judged(cases: DataFrame, judge, metrics: Sequence[str] = JUDGED) -> DataFrame:
+    """cases (question, answer, contexts, ground_truth) with a column for each metric.
+
+    judge(metric, question, answer, contexts, ground_truth) gives a column of scores, say a UDF around a model.
+    """
+    return cases.withColumns({m: judge(m, *[F.col(c) for c in ("question", "answer", "contexts", "ground_truth")]).cast("double") for m in metrics})
+
+
 def mentions(text: Column, phrase: str) -> Column:
     return text.rlike(word(phrase))

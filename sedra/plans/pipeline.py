@@ -98,6 +98,23 @@ def answer(questions: DataFrame, chunks: DataFrame, settings: Settings = Setting
     )
 
 
+def routed(route: Column, local: Generator, cloud: Generator | None = None, mode: str = "auto") -> Generator:
+    """A generator that sends a question where its route says; a cloud answer that is null gives way to the local one.
+
+    mode: auto, or local or cloud for all questions.
+    """
+    if mode not in ("auto", "local", "cloud"):
+        raise ValueError(f"unknown mode: {mode}")
+
+    def generate(messages: Column) -> Column:
+        if cloud is None or mode == "local":
+            return local(messages)
+        far = F.lit(True) if mode == "cloud" else route == "cloud"
+        return F.coalesce(F.when(far, cloud(messages)), local(messages))
+
+    return generate
+
+
 def distill(chunks: DataFrame, generator: Generator, max_samples: int = 100, order: str = "chunk_id", system: str = prompt.SYSTEM) -> DataFrame:
     """(system, context, question, answer) from the first max_samples chunks; a reply that is no such JSON gives no row.
 

@@ -114,3 +114,13 @@ def ragas_rows(cases: DataFrame) -> DataFrame:
 def mined_rows(mined: DataFrame) -> DataFrame:
     """Mined examples for a dump: without the negatives' texts."""
     return mined.drop("negatives", "hard_negative_texts")
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """(key, json): each row as a JSON text, nested structs and arrays included, nulls kept."""
+    return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(df: DataFrame, schema: str, column: str = "json") -> DataFrame:
+    """Rows of such texts again."""
+    return df.select(F.from_json(column, schema).alias("r")).select("r.*")

@@ -99,6 +99,21 @@ def test_knn(spark):
         dense.add(df, new).collect()
 
 
+def test_vector_table(spark, tmp_path):
+    t = dense.VectorTable(spark, str(tmp_path / "v"))
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>")
+    assert t.count() == 0 and t.read() is None
+    t.reset()
+    t.add(df)
+    t.upsert(spark.createDataFrame([(2, [9.0]), (3, [3.0])], df.schema))
+    assert {r.vec_id: r.embedding for r in t.read().collect()} == {1: [1.0], 2: [9.0], 3: [3.0]}
+    with pytest.raises(Exception, match="exists already"):
+        t.add(df)
+    assert t.count() == 3
+    t.reset()
+    assert t.count() == 0
+
+
 def ranked(spark, *lists):
     return spark.createDataFrame([(0, i, d, k) for i, x in enumerate(lists) for k, d in enumerate(x, 1)], "query int, list_id int, doc string, rank int")
 

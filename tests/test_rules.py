@@ -151,3 +151,16 @@ def test_files(spark, tmp_path):
     assert files.full_texts(pages).first().text == "p1\n\np2"
     t = files.read_tables(spark, str(tmp_path), lambda b: [(1, [["a"]]), (2, [["b"]]), (2, [["c"]])], "D").collect()
     assert [r.table_id for r in t] == ["D__page1__t1", "D__page2__t1", "D__page2__t2"]
+
+
+def test_json_and_judges(spark):
+    df = spark.createDataFrame([(1, ("100", "2019"), ["x"], None)], "id int, nghi_dinh struct<a:string,b:string>, xs array<string>, s string")
+    assert files.from_json(files.as_json(df, "id"), "id int, nghi_dinh struct<a:string,b:string>, xs array<string>, s string").collect() == df.collect()
+    cases = spark.createDataFrame([("q", "a", ["c"], "t")], "question string, answer string, contexts array<string>, ground_truth string")
+    row = evaluate.judged(cases, lambda m, q, a, c, g: F.lit(len(m))).first()
+    assert row.faithfulness == 12.0 and files.ragas_rows(cases).first().n_contexts == 1
+    say = lambda x: lambda m: F.lit(x)
+    q = spark.createDataFrame([("cloud",), ("local",)], "route string")
+    out = lambda **k: [r.x for r in q.select(pipeline.routed(F.col("route"), say("near"), **k)(F.lit(None)).alias("x")).collect()]
+    assert out() == ["near", "near"] and out(cloud=say("far")) == ["far", "near"] and out(cloud=say("far"), mode="cloud") == ["far", "far"]
+    assert out(cloud=lambda m: F.lit(None).cast("string")) == ["near", "near"]
