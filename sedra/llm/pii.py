@@ -32,7 +32,7 @@ _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Sr|Sra|Monsieur|Madam
 _SECRET_NAME = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 #: Kinds in order of precedence.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@(?:[\p{L}\p{M}0-9\-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@(?:[\p{L}\p{M}0-9\-]++\.){1,12}\p{L}{2,}",
     "secret": r"(?<![\p{L}0-9])" + _SECRET_NAME + r"[A-Za-z0-9_\-/+=.]{8,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "ipv6": r"(?<![\p{L}0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}0-9:])",

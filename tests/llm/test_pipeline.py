@@ -43,3 +43,27 @@ def test_stages_against_brute_force(spark):
 def test_run_equals_stages(spark):
     first = sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
     assert first and first == sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls everywhere, empty and very long texts, repeated rows, clashing extra columns, an empty table."""
+    from sedra.llm.common import table
+
+    good = "\n".join(f"The a{i} met b{i} and c{i} agreed d{i} to publish e{i} what f{i} had found." for i in range(8))
+    long = " ".join("word%d" % (i * 7919 % 50021) for i in range(60000)) + "."
+    extra = "size string, fp string, id string, body string, kept string, doc string, pos string, root string"
+    x = ("s", "f", "i", "b", "k", "d", "p", "r")
+    rows = [(1, good, "en", "s", 9, *x), (1, good, "en", "s", 9, *x), (2, good + " Tail here.", None, None, None, *[None] * 8), (None, None, None, None, None, *[None] * 8)]
+    rows += [(3, "", "en", "s", 0, *x), (4, long, "en", "t", len(long), *x), (None, good.replace("a1 ", "x1 "), "en", "u", 5, *x)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + extra
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        columns = df.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            df = stage(spark, df, SF)
+            got = df.collect()
+            if k < 4:
+                assert df.columns == columns
+                df = spark.createDataFrame(got, df.schema)
+        if got:
+            assert {r.doc_id for r in got} >= {1, 4} and all(r.size > 0 for r in got)
+    assert table(spark, SF, "documents").count() == 200
