@@ -50,13 +50,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id, text_hash, fp): the fingerprint of the shingles of so many words, as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t) for t in texts(b, text_col)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, width) for t in texts(b, text_col)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], [id_col, "text_hash", "fp"])
 
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
@@ -206,13 +206,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 512, width: int = 3) -> DataFrame:
     """(id, text_hash, fp, component_id, n_component, first_hash) for each row of docs.
 
     component_id: the smallest id reachable over links; n_component: the component's rows; first_hash: the
     text_hash of its representative, the row of the smallest (id, text_hash).
     """
-    fps = cut(fingerprints(docs, id_col, text_col))
+    fps = cut(fingerprints(docs, id_col, text_col, width))
     each = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("low"), F.count("*").alias("n")))
     stars = components(link_fingerprints(each.select("fp"), cap))
     rooted = each.join(stars, each["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "n")
