@@ -45,6 +45,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}0-9])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]*(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}",
 }
 PATTERN = "|".join(PATTERNS.values())
+#: What any entity has: a digit, a sign that joins its parts, a key's beginning or a title. Read first, as it is cheap.
+NEEDED = rf"[0-9@:=]|AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? \p{{Lu}}"
 
 DIGITS = "0123456789"
 LETTERS = ["abcdefghijklmnopqrstuvwxyz", "àáâäãåæçèéêëìíîïñòóôöõøùúûüýÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω"]
@@ -168,7 +170,7 @@ def surrogate(m: Column, kind: Column, key: str = KEY) -> Column:
 
 def entities(text: Column, key: str = KEY) -> Column:
     """The entities of a text in order, as an array of (kind, value, surrogate)."""
-    found = F.when(text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike(NEEDED) & text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
     return F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), surrogate(e["value"], e["kind"], key).alias("surrogate")))
 
