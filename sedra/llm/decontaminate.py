@@ -57,18 +57,18 @@ class Tokens(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        word = core(raw)
-        flags = 0
-        if not word:
-            flags |= _BLANK
-        elif not word.isalpha() and any(map(str.isdigit, word)):
-            flags |= _NUM
+        bare = raw.strip(_EDGES)
+        flags = _TITLE if bare[:1].isupper() and bare[1:2].islower() else 0
+        if bare.isalpha():
+            word = bare.lower()
         else:
-            bare = raw.lstrip(_EDGES)
-            if bare[:1].isupper() and len(word) > 1 and bare[1:2].islower():
-                flags |= _TITLE
-            if word in UNITS:
-                flags |= _UNIT
+            word = core(raw)
+            if not word:
+                flags = _BLANK
+            elif any(map(str.isdigit, word)):
+                flags = _NUM
+        if word in UNITS:
+            flags |= _UNIT
         if raw[-1] in ".!?:…" or raw[-2:-1] in ".!?":
             flags |= _END
         if self.vocabulary is None:
@@ -185,7 +185,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     )
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs without those that contain an item; all columns stay."""
-    bad = leaks(docs, items, id_col, text_col, **more).select(F.col(id_col).alias("__bad")).distinct()
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000, **more) -> DataFrame:
+    """docs without those that contain an item; all columns stay.
+
+    Up to max_broadcast ids, by a count, go to the executors; more are joined by a shuffle of docs.
+    """
+    bad = cut(leaks(docs, items, id_col, text_col, **more).select(F.col(id_col).alias("__bad")).distinct())
+    if bad.count() <= max_broadcast:
+        bad = F.broadcast(bad)
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")

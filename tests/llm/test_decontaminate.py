@@ -60,5 +60,6 @@ def test_drop_and_empty(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     left = d.drop_leaks(docs, items)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 7, 8, 9, 11]
+    assert sorted(map(str, d.drop_leaks(docs, items, max_broadcast=0).collect())) == sorted(map(str, left.collect()))
     assert d.leaks(docs.limit(0), items).count() == 0
     assert d.leaks(docs, items.limit(0)).count() == 0
