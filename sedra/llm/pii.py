@@ -1,7 +1,7 @@
 """PII: keyed surrogates for detected entities, by DataFrame functions only.
 
 One pattern finds e-mail addresses, secrets and keys, IP addresses, card numbers, phone numbers, account numbers and
-titled names. The text is cut at the matches and joined again with a surrogate in each match's place, row by
+names (after a title, or a known given name and what follows). The text is cut at the matches and joined again with a surrogate in each match's place, row by
 row: nothing is shuffled and no table of entities is needed.
 
 A surrogate is the image of the entity under a keyed permutation of all entities of its format: character
@@ -9,8 +9,9 @@ after character moves within its own class (digits, capitals, vowels of a name,
 an amount that a keyed hash derives from its type and all characters before it, forwards and then backwards.
 So equal entities get equal surrogates everywhere (coreference, whatever separators and capitals), and
 different ones of the same format never meet: distinctness holds by construction on any number of machines.
-Kept are separators, the country code of a phone number, a card's Luhn validity, octets below 256, titles (and
-with them gender) and the gender-marking last letter of a name. Collision checks: each row compares the
+Kept are separators, the country code of a phone number, a card's Luhn validity, octets below 256, titles, and the
+gender-marking last letter of a name; a known given name becomes another one of its gender, by a keyed permutation
+of its list. Collision checks: each row compares the
 number of different entities with that of different surrogates (`distinct_ok`), and `collisions` compares
 them over all rows.
 
@@ -30,6 +31,15 @@ KEY = "sedra-demonstration-key"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Sr|Sra|Monsieur|Madame|Mme|Mlle"
 _SECRET_NAME = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+#: Given names that tell gender; a known one gives way to another of its own list.
+MALE = """John James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George
+Edward Brian Kevin Peter Hans Klaus Jürgen Wolfgang Stefan Andreas Jean Pierre Michel Philippe Alain Nicolas François Laurent José
+Juan Carlos Luis Miguel Javier Antonio Manuel Pedro Alejandro Fernando""".split()
+FEMALE = """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Ashley Emily Emma Anna
+Maria Ursula Monika Petra Sabine Renate Helga Claudia Marie Nathalie Isabelle Sylvie Catherine Sophie Chantal Céline Carmen Ana Isabel
+Dolores Pilar Teresa Cristina Laura Lucía Elena Rosa Marta Julia""".split()
+_FAMILY = r"\p{Lu}[\p{L}'’\-]+"
+_GIVEN = r"(?<![\p{L}0-9])(?=\p{Lu})(?:" + "|".join([*MALE, *FEMALE]) + ") (?=\\p{Lu})"
 #: Kinds in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@(?:[\p{L}\p{M}0-9\-]++\.){1,12}\p{L}{2,}",
@@ -42,11 +52,11 @@ PATTERNS = {
     "phone": r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,5}|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![\p{L}0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "hex": r"(?<![\p{L}0-9])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}0-9])",
-    "name": rf"(?<![\p{{L}}0-9])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]*(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}",
+    "name": rf"(?:(?<![\p{{L}}0-9])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]*(?: {_FAMILY}){{0,2}}|{_GIVEN}{_FAMILY}(?: {_FAMILY})?)",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What any entity has: a digit, a sign that joins its parts, a key's beginning or a title. Read first, as it is cheap.
-NEEDED = rf"[0-9@:=]|AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? \p{{Lu}}"
+NEEDED = rf"[0-9@:=]|AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? \p{{Lu}}|{_GIVEN}"
 
 DIGITS = "0123456789"
 LETTERS = ["abcdefghijklmnopqrstuvwxyz", "àáâäãåæçèéêëìíîïñòóôöõøùúûüýÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω"]
@@ -136,11 +146,24 @@ def _phone(m: Column, key: str) -> Column:
     return F.concat(code, cipher(F.substring(m, F.length(code) + 1, F.length(m)), "phone", key, [DIGITS]))
 
 
+def _place(i: Column, n: int, kind: str, key: str) -> Column:
+    """The image of i under a keyed permutation of 0 .. n - 1; n is prime."""
+    a, b = F.pmod(_shift(key, kind, F.lit("a")), F.lit(n - 1)) + 1, _shift(key, kind, F.lit("b"))
+    return F.pmod(a * i + b, F.lit(n))
+
+
 def _name(m: Column, key: str) -> Column:
     title = F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1)
     words = F.split(F.substring(m, F.length(title) + 1, F.length(m)), " ")
 
-    def one(w):
+    def one(w, i):
+        out = F.when(F.lit(False), w)
+        for gender, names in (("male", MALE), ("female", FEMALE)):
+            listed = F.array(*[F.lit(n) for n in names])
+            out = out.when((i == 0) & F.array_contains(listed, w), F.element_at(listed, (_place(F.array_position(listed, w) - 1, len(names), gender, key) + 1).cast("int")))
+        return out.otherwise(unlisted(w))
+
+    def unlisted(w):
         end = F.regexp_extract(w, "(?<=..)([aoàáòóаоя])$", 1)
         return F.concat(cipher(F.substring(w, F.lit(1), F.length(w) - F.length(end)), "name", key, NAMES), end)
 
