@@ -224,9 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, its representative; all columns stay."""
     ids = near_duplicates(docs, id_col, text_col)
+    keys = ["__id", "__no_id", "__hash"]  # plain keys, so that the window finds the join's partitioning
+
+    def keyed(df: DataFrame, text_hash) -> DataFrame:
+        return df.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__no_id": F.col(id_col).isNull(), "__hash": text_hash})
+
     first = ids.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
-    first = first.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    kept = hashed.join(first, hashed[id_col].eqNullSafe(first["__id"]) & (hashed["__text_hash"] == first["__hash"]), "left_semi")
-    alike = Window.partitionBy(id_col, "__text_hash").orderBy(F.xxhash64(*docs.columns))
+    first = keyed(first, F.col("text_hash")).select(*keys).distinct()
+    kept = keyed(docs, F.xxhash64(text_col)).join(first, keys, "left_semi")
+    alike = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("__row", F.row_number().over(alike)).where("__row = 1").select(*docs.columns)
