@@ -214,16 +214,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(fingerprints(docs, id_col, text_col, width))
     each = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("low"), F.count("*").alias("n")))
-    stars = components(link_fingerprints(each.select("fp"), cap))
+    return labelled(fps, each, components(link_fingerprints(each.select("fp"), cap)), id_col)
+
+
+def labelled(fps: DataFrame, each: DataFrame, stars: DataFrame, id_col: str) -> DataFrame:
+    """The rows of fps with what near_duplicates gives; each: (fp, low, n); stars: (node, root) of linked fingerprints."""
     rooted = each.join(stars, each["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "n")
     groups = rooted.groupBy("root").agg(F.min("low").alias("low"), F.sum("n").alias("n_component"))
     label = rooted.select("fp", "root").join(groups, "root").select("fp", F.col("low.id").alias("component_id"), "n_component", F.col("low.text_hash").alias("first_hash"))
     return fps.join(label, "fp").select(id_col, "text_hash", "fp", "component_id", "n_component", "first_hash")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, its representative; all columns stay."""
-    ids = near_duplicates(docs, id_col, text_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
+    """docs with one row of each component, its representative; all columns stay. groups: gives the components."""
+    ids = groups(docs, id_col, text_col)
     keys = ["__id", "__no_id", "__hash"]  # plain keys, so that the window finds the join's partitioning
 
     def keyed(df: DataFrame, text_hash) -> DataFrame:
