@@ -3,9 +3,10 @@
 Words are stripped of punctuation and case. Numbers, names (title-case words inside a sentence) and units
 (unit words after a number) become typed placeholders, and every window of five such tokens with two
 literal words at least is hashed. Windows of documents and benchmark items are joined on the hash. For a
-document and an item, matches along about the same diagonal count together: the item is found if they cover
-0.8 of its tokens and its slots are filled consistently, one value of the document for each value of the
-item. Windows whose slots hold the item's own values count even where others contradict.
+document and an item, matches on the same diagonal are one alignment; its slots are consistent if they hold one
+value of the document for each value of the item. Consistent alignments on near diagonals whose values agree
+are chained, and the item is found if a chain covers 0.8 of its tokens. Windows whose slots hold the item's own
+values count even where others contradict.
 
 Where the benchmark has at most `max_filter` windows, their hashes and words go to the executors, so that
 only windows that occur in the benchmark are shuffled; beyond that, all windows of the documents are.
@@ -17,6 +18,7 @@ Documents are known by their id: rows that repeat an id count as one document; a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -154,14 +156,70 @@ def _schema(id_field: T.StructField, id_name: str, items: bool) -> T.StructType:
     return T.StructType(fields + [T.StructField("words", strings)] * items)
 
 
+def _bits(places) -> int:
+    """The tokens that windows at these places cover, as the bits of a number."""
+    out = 0
+    for p in places:
+        out |= ((1 << WIDTH) - 1) << p
+    return out
+
+
+def best_chain(diagonals: list[dict], reach: int) -> tuple[float, bool] | None:
+    """(coverage, reparameterised) of the item's best alignment, or None if none covers enough.
+
+    A diagonal is one alignment of the item. From each, the others within DIAGONAL are added, the larger first,
+    whose slots agree among themselves and with those added before. Of the rest only windows with the item's
+    own values count, and apart from the chain.
+    """
+    rows = []
+    for x in sorted(diagonals, key=lambda x: x["d"]):
+        slots: dict | None = {}
+        for pair in x["pairs"]:
+            if slots.setdefault(pair["a"], pair["b"]) != pair["b"]:
+                slots = None
+                break
+        rows.append((x["d"], _bits(x["places"]) & reach, _bits(x["same"]) & reach, slots))
+    at, length, best, other = [r[0] for r in rows], reach.bit_count(), 0, True
+    for d, cover, same, slots in rows:
+        near = rows[bisect_left(at, d - DIAGONAL) : bisect_right(at, d + DIAGONAL)]
+        every = 0
+        for r in near:
+            every |= r[1]
+        if every.bit_count() < SIMILARITY * length:
+            continue
+        for r in near:
+            same |= r[2]
+        chain = 0
+        if slots is not None:
+            chain, agreed = cover, dict(slots)
+            for r in sorted(near, key=lambda r: (-r[1].bit_count(), abs(r[0] - d))):
+                if r[3] is not None and all(agreed.get(a, b) == b for a, b in r[3].items()):
+                    agreed.update(r[3])
+                    chain |= r[1]
+        most = max(chain.bit_count(), same.bit_count())
+        if most >= SIMILARITY * length:
+            best, other = max(best, most), other and same.bit_count() < most
+    return (best / length, other) if best else None
+
+
+def _judge(batches):
+    for b in batches:
+        rows = []
+        for k, (diagonals, reach) in enumerate(zip(texts(b, "diagonals"), texts(b, "reach"))):
+            if chain := best_chain(diagonals, _bits(reach)):
+                rows.append((k, *chain))
+        taken = pa.array([r[0] for r in rows], pa.int64())
+        values = [pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), *values], ["doc", "item", "coverage", "reparameterised"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_filter: int = 1_000_000) -> DataFrame:
     """(id, item_id, coverage, reparameterised): the items that each document contains."""
     spark = docs.sparkSession
     ship(spark)
     of_items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).mapInArrow(_template_rows("item", "body", items=True), _schema(items.schema[item_id], "item", True))
     of_items = cut(of_items)
-    reach = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (WIDTH - 1))))))
-    length = of_items.groupBy("item").agg(reach.alias("length"))
+    reach = of_items.groupBy("item").agg(F.collect_set("pos").alias("reach"))
     known = None
     if of_items.count() <= max_filter:
         hashes = np.unique(np.array([r.h for r in of_items.select("h").distinct().collect()], np.int64)).view(np.uint64)
@@ -169,20 +227,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         known = spark.sparkContext.broadcast((vocabulary, hashes))
     of_docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).mapInArrow(_template_rows("doc", "body", known), _schema(docs.schema[id_col], "doc", False))
     right = of_items.select("item", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    hits = of_docs.join(right, "h").withColumn("d", F.col("pos") - F.col("item_pos") + DIAGONAL)
-    cell = F.explode(F.array(F.expr(f"2 * (d div {DIAGONAL})"), F.expr(f"2 * ((d + {DIAGONAL // 2}) div {DIAGONAL}) + 1")))
-    hits = hits.select("doc", "item", "item_pos", cell.alias("cell"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"), (F.col("item_slots") == F.col("slots")).alias("same"))
-    span = F.sequence(F.col("item_pos"), F.col("item_pos") + (WIDTH - 1))
-    covered = lambda c: F.size(F.array_distinct(F.flatten(c)))
-    found = hits.groupBy("doc", "item", "cell").agg(
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), covered(F.collect_set(span)).alias("all"), covered(F.collect_set(F.when(F.col("same"), span))).alias("same")
-    )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    found = found.withColumn("most", F.when(consistent, F.greatest("all", "same")).otherwise(F.col("same")))
-    found = found.join(length, "item").withColumn("coverage", F.col("most") / F.col("length")).where(F.col("coverage") >= SIMILARITY)
-    return found.groupBy("doc", "item").agg(F.max("coverage").alias("coverage"), F.min(F.col("same") < F.col("most")).alias("reparameterised")).select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_id), "coverage", "reparameterised"
-    )
+    hits = of_docs.join(right, "h").withColumn("d", F.col("pos") - F.col("item_pos")).withColumn("same", F.col("item_slots").eqNullSafe(F.col("slots")))
+    hits = hits.withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
+    diagonals = hits.groupBy("doc", "item", "d").agg(F.collect_set("item_pos").alias("places"), F.collect_set(F.when(F.col("same"), F.col("item_pos"))).alias("same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = diagonals.groupBy("doc", "item").agg(F.collect_list(F.struct("d", "places", "same", "pairs")).alias("diagonals")).join(reach, "item").select("doc", "item", "diagonals", "reach")
+    out = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("item", items.schema[item_id].dataType), T.StructField("coverage", T.DoubleType()), T.StructField("reparameterised", T.BooleanType())])
+    return found.mapInArrow(_judge, out).select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "coverage", "reparameterised")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000, **more) -> DataFrame:

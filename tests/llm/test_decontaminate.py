@@ -63,3 +63,19 @@ def test_drop_and_empty(spark):
     assert sorted(map(str, d.drop_leaks(docs, items, max_broadcast=0).collect())) == sorted(map(str, left.collect()))
     assert d.leaks(docs.limit(0), items).count() == 0
     assert d.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_adjacent_variants_and_repeating_templates(spark):
+    """Alignments next to each other hold other values each; so do those of an item along itself."""
+    sells = "Tom buys %s apples for %s dollars at the market and then sells %s of them."
+    boxes = "A box holds %s apples and a bag holds %s apples and a crate holds %s apples and a sack holds %s apples."
+    inserted = "the train needs 7 hours to the coast and stays there for 7 hours %s before it goes back home again at night"
+    items = [(1, sells % (3, 4, 2)), (2, boxes % (3, 5, 8, 9)), (3, (inserted % "").replace("7", "3"))]
+    rows = [
+        (1, sells % (5, 6, 7)), (2, sells % (5, 6, 7) + " " + sells % (8, 9, 10) + " " + sells % (11, 12, 13)),
+        (3, PAD + " " + boxes % (21, 22, 23, 24) + " " + boxes % (31, 32, 33, 34) + " " + PAD), (4, inserted % "or so"), (5, PAD),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 2), (4, 3)}
+    assert all(r.reparameterised for r in got)
