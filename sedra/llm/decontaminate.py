@@ -2,11 +2,13 @@
 
 Words are stripped of punctuation and case. Numbers, names (title-case words inside a sentence) and units
 (unit words after a number) become typed placeholders, and every window of five such tokens with two
-literal words at least is hashed. Windows of documents and benchmark items are joined on the hash. For a
+literal words at least is hashed. What is a name depends on case and punctuation, so every window is hashed as
+plain words too, under other hashes. Windows of documents and benchmark items are joined on the hash. For a
 document and an item, matches on the same diagonal are one alignment; its slots are consistent if they hold one
 value of the document for each value of the item. Consistent alignments on near diagonals whose values agree
-are chained, and the item is found if a chain covers 0.8 of its tokens. Windows whose slots hold the item's own
-values count even where others contradict.
+are chained, and the item is found if a chain covers 0.8 of the tokens that its template windows reach, or of all
+its tokens if it has none. Windows whose slots hold the item's own values, and plain ones, count even where others
+contradict.
 
 Where the benchmark has at most `max_filter` windows, their hashes and words go to the executors, so that
 only windows that occur in the benchmark are shuffled; beyond that, all windows of the documents are.
@@ -39,7 +41,7 @@ UNITS = frozenset(
 )
 _TITLE, _END, _NUM, _UNIT, _BLANK, _FLAGS = 1, 2, 4, 8, 16, 5
 _NUMBER, _NAME, _MEASURE = 1, 2, 3
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P, _PLAIN = np.uint64(0x9E3779B97F4A7C15), 0x5851F42D4C957F2D
 _NON_WORD = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}*#$%&|<>-–—…“”‘’«»¿¡/\\+=~^`@_"
 
@@ -83,11 +85,26 @@ class Tokens(dict):
         return value
 
 
+def _hashes(ids: np.ndarray, alive: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the windows that start at the places alive."""
+    h = np.full(len(alive), salt, np.uint64)
+    for k in range(WIDTH):
+        h = (h + ids[alive + k]) * _P
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _window_sums(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, out=total[1:])
+    return total[WIDTH:] - total[:-WIDTH]
+
+
 def windows(text: str | None, tokens: Tokens):
-    """(words, place of each token among them, kinds: 0 literal, hashes of the windows, usable windows)."""
+    """(words, place of each token among them, kinds: 0 literal, hashes of template windows, their places, hashes of plain windows, their places)."""
     words = text.split() if text else []
     if len(words) < WIDTH:
-        return words, None, None, None, None
+        return words, None, None, None, None, None, None
     packed = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
     flags = (packed & np.uint64((1 << _FLAGS) - 1)).astype(np.uint8)
     start = np.ones(len(words), bool)
@@ -97,19 +114,14 @@ def windows(text: str | None, tokens: Tokens):
     after[1:] = number[:-1]
     kind = np.where(number, _NUMBER, np.where(((flags & _UNIT) != 0) & after, _MEASURE, np.where(((flags & _TITLE) != 0) & ~start, _NAME, 0))).astype(np.uint8)
     at = np.flatnonzero((flags & _BLANK) == 0)
-    n = len(at) - WIDTH + 1
-    if n <= 0:
-        return words, None, None, None, None
+    if len(at) < WIDTH:
+        return words, None, None, None, None, None, None
     kind = kind[at]
-    ids = np.where(kind > 0, kind.astype(np.uint64), packed[at] >> np.uint64(_FLAGS))
-    h, literal, dead = np.zeros(n, np.uint64), np.zeros(n, np.uint8), np.zeros(n, bool)
-    for k in range(WIDTH):
-        part = ids[k : k + n]
-        h = (h + part) * _P
-        h ^= h >> np.uint64(29)
-        literal += kind[k : k + n] == 0
-        dead |= part == 0
-    return words, at, kind, h, (literal >= MIN_LITERALS) & ~dead
+    plain = packed[at] >> np.uint64(_FLAGS)
+    unknown, literal = plain == 0, kind == 0
+    p = np.flatnonzero((_window_sums(literal) >= MIN_LITERALS) & (_window_sums(unknown & literal) == 0))
+    q = np.flatnonzero(_window_sums(unknown) == 0)
+    return words, at, kind, _hashes(np.where(literal, plain, kind.astype(np.uint64)), p), p, _hashes(plain, q, _PLAIN), q
 
 
 def _slots(words, at, kind, p: int) -> list[str]:
@@ -117,7 +129,7 @@ def _slots(words, at, kind, p: int) -> list[str]:
 
 
 def _template_rows(id_col: str, text_col: str, known=None, items: bool = False):
-    """mapInArrow function: (id, h, pos, slots) of the windows; of items also the words."""
+    """mapInArrow function: (id, h, pos, slots) of the windows, slots null for plain ones; of items also the words."""
     names = [id_col, "h", "pos", "slots"] + ["words"] * items
 
     def run(batches):
@@ -129,21 +141,23 @@ def _template_rows(id_col: str, text_col: str, known=None, items: bool = False):
         for b in batches:
             at_row, hs, pos, slots, cores = [], [], [], [], []
             for i, t in enumerate(texts(b, text_col)):
-                words, at, kind, h, good = windows(t, tokens)
-                if h is None:
+                words, at, kind, *both = windows(t, tokens)
+                if at is None:
                     continue
-                p = np.flatnonzero(good)
-                if hashes is not None and len(p):
-                    p = p[table[(h[p] & np.uint64((1 << 20) - 1)).astype(np.int64)]]
-                    if len(p):
-                        p = p[np.isin(h[p], hashes)]
-                for k in p.tolist():
-                    at_row.append(i)
-                    hs.append(int(h[k].view(np.int64)))
-                    pos.append(k)
-                    slots.append(_slots(words, at, kind, k))
-                    if items:
-                        cores.append([core(words[at[k + j]]) for j in range(WIDTH) if not kind[k + j]])
+                for plain, h, p in ((False, *both[:2]), (True, *both[2:])):
+                    if hashes is not None and len(p):
+                        few = table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                        h, p = h[few], p[few]
+                        if len(p):
+                            few = np.isin(h, hashes)
+                            h, p = h[few], p[few]
+                    for x, k in zip(h.view(np.int64).tolist(), p.tolist()):
+                        at_row.append(i)
+                        hs.append(x)
+                        pos.append(k)
+                        slots.append(None if plain else _slots(words, at, kind, k))
+                        if items:
+                            cores.append([core(words[at[k + j]]) for j in range(WIDTH)])
             arrays = [b.column(0).take(pa.array(at_row, pa.int64())), pa.array(hs, pa.int64()), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(cores, pa.list_(pa.string()))] * items, names)
 
@@ -219,7 +233,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ship(spark)
     of_items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).mapInArrow(_template_rows("item", "body", items=True), _schema(items.schema[item_id], "item", True))
     of_items = cut(of_items)
-    reach = of_items.groupBy("item").agg(F.collect_set("pos").alias("reach"))
+    reach = of_items.groupBy("item").agg(F.collect_set(F.when(F.col("slots").isNotNull(), F.col("pos"))).alias("reach"), F.collect_set("pos").alias("all"))
+    reach = reach.select("item", F.when(F.size("reach") > 0, F.col("reach")).otherwise(F.col("all")).alias("reach"))
     known = None
     if of_items.count() <= max_filter:
         hashes = np.unique(np.array([r.h for r in of_items.select("h").distinct().collect()], np.int64)).view(np.uint64)

@@ -79,3 +79,19 @@ def test_adjacent_variants_and_repeating_templates(spark):
     got = d.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 2), (4, 3)}
     assert all(r.reparameterised for r in got)
+
+
+def test_verbatim_without_case_or_punctuation(spark):
+    german = "Der Zug verließ den Bahnhof, und die Fahrgäste lasen ihre Zeitung. Danach kam der Schaffner mit Brot und Wein in den Wagen."
+    two = "The rain fell on the roof. Water ran down the wall. Nobody in the house had seen it. The night went on and on."
+    numbers = "12 + 30 * 4 - 7 = ? 9 + 15"  # no window has two literal words
+    items = spark.createDataFrame([(1, german), (2, two), (3, numbers)], "item_id long, text string")
+    bare = lambda t: re.sub(r"[^\w\s]", "", t)
+    rows, want = [(99, "and " + PAD), (98, "11 + 31 * 5 - 8 = ? 9 + 15")], set()
+    for i, (item, t) in enumerate([(1, german), (2, two), (3, numbers)]):
+        for k, f in enumerate((str, str.lower, str.upper, str.title, bare, lambda t: bare(t).lower(), lambda t: bare(t).title())):
+            rows.append((10 * i + k, PAD + " and " + f(t) + " then " + PAD))
+            want.add((10 * i + k, item))
+    for most in (1_000_000, 0):
+        got = d.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, max_filter=most).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
