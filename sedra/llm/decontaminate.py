@@ -149,7 +149,7 @@ def _template_rows(id_col: str, text_col: str, known=None, items: bool = False):
                         few = table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
                         h, p = h[few], p[few]
                         if len(p):
-                            few = np.isin(h, hashes)
+                            few = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
                             h, p = h[few], p[few]
                     for x, k in zip(h.view(np.int64).tolist(), p.tolist()):
                         at_row.append(i)
@@ -237,7 +237,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     reach = reach.select("item", F.when(F.size("reach") > 0, F.col("reach")).otherwise(F.col("all")).alias("reach"))
     known = None
     if of_items.count() <= max_filter:
-        hashes = np.unique(np.array([r.h for r in of_items.select("h").distinct().collect()], np.int64)).view(np.uint64)
+        hashes = np.unique(np.array([r.h for r in of_items.select("h").distinct().collect()], np.int64).view(np.uint64))
         vocabulary = {r.w: xxhash.xxh3_64_intdigest(r.w) >> _FLAGS | 4 for r in of_items.select(F.explode("words").alias("w")).distinct().collect()}
         known = spark.sparkContext.broadcast((vocabulary, hashes))
     of_docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).mapInArrow(_template_rows("doc", "body", known), _schema(docs.schema[id_col], "doc", False))
