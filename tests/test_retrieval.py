@@ -168,6 +168,15 @@ def test_mining(spark):
     assert mine.hard_negatives(pairs, hits, chunks, per_positive=4, fill=False).count() == 2
 
 
+def test_random_negatives_come_from_the_whole_corpus(spark):
+    chunks = spark.createDataFrame([(d, ["t%d" % d]) for d in range(300)], "doc long, terms array<string>")
+    pairs = spark.createDataFrame([(p, p, [p + 1], []) for p in range(200)], "pair long, positive long, extra array<bigint>, manual array<bigint>")
+    hits = spark.createDataFrame([], "pair long, doc long, rank int")
+    got = mine.hard_negatives(pairs, hits, chunks, per_positive=8).collect()
+    assert len(got) == len({(r.pair, r.neg) for r in got}) == 1600 and len({r.neg for r in got}) > 280
+    assert not any(r.neg in (r.positive, r.positive + 1) for r in got)
+
+
 def test_ids_and_sessions(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a")], "n int, id string")
     assert [r.id for r in ids.disambiguate(df, "id", "n").orderBy("n").collect()] == ["a", "a__occ2", "b", "a__occ3"]
