@@ -1,7 +1,7 @@
 """Queries over the library's operators, and the same in SQL where SQL can say them.
 
-Each takes (spark, sf_dir) and reads whole tables. Rules of Vietnamese law have no table that fits them:
-they run on the rows of `samples` and, where they can, on whole tables too.
+Each takes (spark, sf_dir) and reads whole tables, but for rules of Vietnamese law: no table fits them, and
+they run on the few rows of `samples` and do not grow with the tables; only the chunker has a query over documents too.
 """
 
 from __future__ import annotations
