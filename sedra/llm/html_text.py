@@ -1,10 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is parsed into text blocks with their open elements. A linear classifier gives each block a cost for
-being called boilerplate or content (its terminal capacity); neighbours in page order, and blocks and the
-elements that hold them, are tied by smoothness edges. The minimum cut is the labelling of least total cost,
+A page is parsed into text blocks with their open elements. A logistic classifier, fitted on the labelled pages of html_pages,
+gives each block a cost for being called boilerplate or content (its terminal capacity); neighbours in page order, and blocks
+and the elements that hold them, are tied by smoothness edges, looser where an element's class or tag says that a part of another kind
+begins. The minimum cut is the labelling of least total cost,
 found by maximum flow after all nodes whose own evidence outweighs their edges are settled.
 
+Class words are evidence, not a verdict: a class that tells a state (has-sidebar, comments-open) says nothing, and an element
+that holds all of the page's article, or all that looks like content, is no boilerplate by its class or as a form.
+
 Text is the content blocks in page order: character references decoded, white space inside a block turned
 into one space, trimmed, blocks joined by one space; nothing else is dropped or capped. Null, empty and
 textless pages give an empty text. Broken markup is read as browsers do: unclosed elements end with their
@@ -17,13 +21,16 @@ from __future__ import annotations
 import re
 from collections import deque
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ship, texts
+from .html_pages import PAGES
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.\-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -45,60 +52,99 @@ ENDS = {
 ENDS_P = BLOCKS - frozenset("button option optgroup html head body template noscript svg caption td th tr tbody thead tfoot".split())
 HOLDS_P = frozenset("button td th caption table html template".split())
 
+#: Boilerplate by their tag, and those of them that cannot hold content at all.
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select template noscript svg option head fieldset".split())
-BAD_WORDS = frozenset(
-    """nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead banner ad ads advert adverts advertisement
-    advertising adsense promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay
-    newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related
-    recommend recommended recommendations widget widgets pagination pager toolbar search copyright legal disclaimer tags tagcloud hidden
-    discussion feedback reviews outbrain taboola teaser""".split()
+NEVER = BAD_TAGS - {"form", "fieldset"}
+STRONG_WORDS = frozenset(
+    """nav navbar navigation menu breadcrumb breadcrumbs footer masthead ad ads advert adverts advertisement advertising adsense sponsor
+    sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist
+    respond replies disqus pagination pager outbrain taboola discussion discussions guestbook userpost userposts hidden""".split()
+)
+WEAK_WORDS = frozenset(
+    """sidebar side header banner promo promotion notice notices notification alert share sharing social related recommend recommended
+    recommendations widget widgets toolbar search copyright legal disclaimer tags tagcloud feedback reviews review teaser reply thread reactions
+    opinions visitors""".split()
 )
+#: Class names with one of these words tell a state of the page, not what the element is.
+STATE_WORDS = frozenset("has no not with without is are can allow allows open closed enabled disabled".split())
+#: Parts of compound words (topnav, sitefooter, usercomments).
+STEMS = ("navbar", "topnav", "subnav", "leftnav", "menu", "footer", "sidebar", "banner", "comment", "cookie", "newsletter", "advert", "sponsor", "breadcrumb", "userpost", "readerpost", "guestbook")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_WORDS = frozenset("article post content entry story main body text".split())
+_READERS = frozenset("user users reader readers visitor visitors guest guests member members".split())
+_POSTS = frozenset("post posts comment comments content contents reply replies review reviews opinion opinions".split())
 _SENTENCE_END = re.compile(r"[.!?…。！？]")
+_CUE = re.compile(
+    r"\W*(?:\d+ (?:comments?|replies)|comments?\b|leave a |reply\b|replies\b|share\b|tweet\b|subscribe|sign (?:in|up)|log ?in|read (?:also|more)|related |advertisement|sponsored|"
+    r"copyright|©|all rights reserved|we use cookies|posted by|[\w .]{1,30}(?:, | · | - )?\d+ (?:minutes?|hours?|days?|weeks?|months?|years?) ago|\w[\w .]{0,30} (?:wrote|says|said):$)",
+    re.I,
+)
+_NAMES = ("base", "inside", "outside", "links", "short", "words", "sentence", "heading", "good", "structure", "strong", "weak", "cue")
+STRUCTURE, CLASS = 1, 2
 
 
 @dataclass(frozen=True)
 class Costs:
-    inside: float = 3.5  # in an article or main element
-    outside: float = -2.5  # of the page's article or main element
-    bad: float = -9.0  # in an element whose tag, class, id or role says boilerplate
-    good: float = 1.5  # class or id says content
-    links: float = -5.0  # times the share of characters in links
-    short: float = -1.2  # fewer than 4 words
-    word: float = 0.06  # for each word up to 40
-    sentence: float = 0.8
-    heading: float = 0.8
-    base: float = -0.6
-    neighbour: float = 1.0
-    container: float = 0.6
-    across: float = 0.05  # smoothness over the edge of a boilerplate element
+    weights: tuple  # one for each of _NAMES
+    neighbour: float = 2.0
+    container: float = 0.8
+    class_edge: float = 0.1  # share of the smoothness that stays over the edge of an element whose class says boilerplate
+    tag_edge: float = 0.02  # the same for a tag or role
+
+
+@lru_cache(1 << 14)
+def class_words(value: str) -> tuple[bool, bool, bool]:
+    """(good, strong, weak): what a class or id says about its element."""
+    good = strong = weak = False
+    for name in value.split():
+        words = {w.lower() for w in _TOKEN.findall(name)}
+        fine = bool(words & GOOD_WORDS)
+        state = bool(words & STATE_WORDS) and words != {"is", "hidden"}
+        compound = any(len(w) >= 6 and (w.startswith(STEMS) or w.endswith(STEMS) or w.endswith(tuple(x + "s" for x in STEMS))) for w in words)
+        own = not state and (bool(words & STRONG_WORDS) or compound or bool(words & _READERS and words & _POSTS))
+        maybe = not state and bool(words & WEAK_WORDS) and not (fine and words & {"header"} and not words & (WEAK_WORDS - {"header"}))
+        strong, weak, good = strong or own, weak or maybe, good or (fine and not own and not maybe)
+    return good, strong, weak
 
 
 class Element:
-    __slots__ = ("tag", "parent", "bad", "inside", "good", "number")
+    __slots__ = ("tag", "parent", "structure", "strong", "weak", "inside", "good", "number", "excused")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, number: int):
-        self.tag, self.parent, self.number = tag, parent, number
+        self.tag, self.parent, self.number, self.excused = tag, parent, number, False
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         self.good = bool(parent and parent.good)
-        bad = tag in BAD_TAGS or (tag == "header" and not self.inside)
+        self.structure, self.strong, self.weak = tag in BAD_TAGS or (tag == "header" and not self.inside), False, False
         if attributes and not attributes.isspace():
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
-                if name in ("class", "id"):
-                    words = {w.lower() for w in _TOKEN.findall(value)}
-                    good = bool(words & GOOD_WORDS)
-                    bad |= bool(words & BAD_WORDS) and tag not in ("html", "body") and not (good and words & {"header", "text"} and not words & (BAD_WORDS - {"header"}))
-                    self.good |= good and not words & BAD_WORDS
+                if name in ("class", "id") and tag not in ("html", "body"):
+                    good, strong, weak = class_words(value)
+                    self.good |= good
+                    self.strong |= strong
+                    self.weak |= weak
                 elif name == "role":
-                    bad |= value.lower() in BAD_ROLES
+                    self.structure |= value.lower() in BAD_ROLES
                     self.inside |= value.lower() in ("main", "article")
                 elif name == "itemprop":
                     self.inside |= value.lower() == "articlebody"
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-                    bad = True
-        self.bad = (parent.bad if parent else 0) + bad
+                    self.structure = True
+
+    @property
+    def kind(self) -> int:
+        """What the element's own tag and class begin: STRUCTURE, CLASS, or 0 for nothing new."""
+        if self.excused:
+            return STRUCTURE if self.structure and self.tag in NEVER else 0
+        return STRUCTURE if self.structure else CLASS if self.strong or self.weak else 0
+
+    def above(self) -> list[Element]:
+        """The element and those that hold it."""
+        out, e = [], self
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out
 
 
 @dataclass
@@ -198,13 +244,64 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
+def excuse(blocks: list[Block]) -> bool:
+    """Marks the elements whose class (or being a form) is no evidence, as they hold all that looks like content; whether the page has an article.
+
+    Where an article or main element has such blocks, only these count. Without one, only weak words are excused.
+    """
+    lines = [b for b in blocks if b.text.count(" ") >= 5 and _SENTENCE_END.search(b.text) and 2 * b.link_chars < len(b.text) and not any(e.structure and e.tag != "form" for e in b.element.above())]
+    inside = [b for b in lines if b.element.inside]
+    marked: dict[int, list] = {}
+    for b in inside or lines:
+        for e in b.element.above():
+            if e.strong or e.weak or e.tag == "form":
+                marked.setdefault(e.number, [e, 0])[1] += 1
+    for e, n in marked.values():
+        if n == len(inside or lines) and (inside or not e.strong):
+            e.excused = True
+    return any(b.element.inside and not any(e.kind for e in b.element.above()) for b in blocks)
+
+
+def features(block: Block, has_article: bool) -> list[float]:
+    """The values that _NAMES names."""
+    words, e = block.text.count(" ") + 1, block.element
+    above = e.above()
+    kinds = [x.kind for x in above]
+    strong, weak = any(k == CLASS and x.strong for k, x in zip(kinds, above)), any(k == CLASS and x.weak for k, x in zip(kinds, above))
+    return [
+        1.0, e.inside, not e.inside and has_article, min(1.0, block.link_chars / len(block.text)), words < 4, min(words, 40) / 40, bool(_SENTENCE_END.search(block.text)),
+        e.tag in ("h1", "h2", "h3"), e.good, STRUCTURE in kinds, strong, weak, words <= 30 and bool(_CUE.match(block.text)),
+    ]
+
+
+def fit_costs(pages=PAGES, penalty: float = 0.04, **smooth) -> Costs:
+    """Terminal costs by ridge-penalised logistic regression on labelled pages (in whose texts a plus sign begins a content block)."""
+    x, y = [], []
+    for page in pages:
+        blocks = blocks_of(page)
+        labels = [b.text.startswith("+") for b in blocks]
+        blocks = [Block(b.text.lstrip("+"), b.element, b.link_chars) for b in blocks]
+        has_article = excuse(blocks)
+        x += [features(b, has_article) for b in blocks]
+        y += labels
+    x, y = np.array(x, float), np.array(y, float)
+    ridge = np.full(x.shape[1], penalty)
+    ridge[0] = 1e-3
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    return Costs(tuple(float(v) for v in w), **smooth)
+
+
+@lru_cache(1)
+def default_costs() -> Costs:
+    return fit_costs()
+
+
 def evidence(block: Block, has_article: bool, costs: Costs) -> float:
     """Positive: calling the block boilerplate costs so much; negative: calling it content does."""
-    words, e = block.text.count(" ") + 1, block.element
-    score = costs.base + costs.word * min(words, 40) + costs.links * min(1.0, block.link_chars / len(block.text))
-    score += costs.short * (words < 4) + costs.sentence * bool(_SENTENCE_END.search(block.text)) + costs.heading * (e.tag in ("h1", "h2", "h3"))
-    score += costs.inside if e.inside else costs.outside * has_article
-    return score + costs.good * e.good + costs.bad * min(2, e.bad)
+    return sum(w * v for w, v in zip(costs.weights, features(block, has_article)))
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -284,38 +381,47 @@ def _flow(own: list[float], near: list[dict[int, float]], nodes: list[int]) -> l
                 path.pop()
 
 
-def label_blocks(blocks: list[Block], costs: Costs = Costs()) -> list[bool]:
+def label_blocks(blocks: list[Block], costs: Costs | None = None) -> list[bool]:
     """Content or not, for each block."""
-    has_article = any(b.element.inside and not b.element.bad for b in blocks)
+    costs = costs or default_costs()
+    has_article = excuse(blocks)
     unary = [evidence(b, has_article, costs) for b in blocks]
     edges, nodes = [], {}
 
+    def share(k: int) -> float:
+        return costs.tag_edge if k == STRUCTURE else costs.class_edge if k == CLASS else 1.0
+
     def node(e: Element) -> int:
         if e.number not in nodes:
             nodes[e.number] = len(unary)
             unary.append(0.0)
             if e.parent is not None:
-                same = e.bad == e.parent.bad and e.inside == e.parent.inside
-                edges.append((nodes[e.number], node(e.parent), costs.container if same else costs.across))
+                over = costs.tag_edge if e.inside != e.parent.inside else share(e.kind)
+                edges.append((nodes[e.number], node(e.parent), costs.container * over))
         return nodes[e.number]
 
     for k, b in enumerate(blocks):
         edges.append((k, node(b.element), costs.container))
         if k:
-            before = blocks[k - 1].element
-            alike = before.bad == b.element.bad and before.inside == b.element.inside
-            edges.append((k - 1, k, (costs.neighbour if before is b.element or before.parent is b.element.parent else costs.neighbour / 2) if alike else costs.across))
+            a = blocks[k - 1].element
+            own, other = a.above(), b.element.above()
+            shared = {e.number for e in own} & {e.number for e in other}
+            between = [e for e in own + other if e.number not in shared]
+            loose = min([costs.tag_edge if a.inside != b.element.inside else 1.0, *(share(e.kind) for e in between)])
+            near = 1.0 if a is b.element or a.parent is b.element.parent else 0.5
+            edges.append((k - 1, k, costs.neighbour * near * loose))
     return min_cut(unary, edges)[: len(blocks)]
 
 
-def main_text(html: str | None, costs: Costs = Costs()) -> str:
+def main_text(html: str | None, costs: Costs | None = None) -> str:
     blocks = blocks_of(html) if html else []
     return " ".join(b.text for b, keep in zip(blocks, label_blocks(blocks, costs)) if keep)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", costs: Costs = Costs()) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", costs: Costs | None = None) -> DataFrame:
     """(id, url, text, n_chars) for each row of pages."""
     ship(pages.sparkSession)
+    costs = costs or default_costs()
 
     def run(batches):
         for b in batches:

@@ -71,3 +71,42 @@ def test_rows(spark):
     got = h.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.page_id), str(r.url), r.text) for r in got) == [("1", "u", WANT)] * 2 + [("2", "None", ""), ("None", "v", "")]
     assert h.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_class_words_are_evidence_and_no_verdict():
+    a = f"<p>{ARTICLE}</p><p>{ARTICLE}</p>"
+    want = f"{ARTICLE} {ARTICLE}"
+    for page in (
+        f'<div class="layout has-sidebar"><article>{a}</article></div>', f'<article class="post comments-open">{a}</article>', f'<div class="content no-sidebar">{a}</div>',
+        f'<article><div class="reviews">{a}</div></article>', f'<form id="all"><nav><a href="/">Home</a></nav><main>{a}</main></form>', f'<body class="with-menu">{a}<div class="footer">Imprint</div></body>',
+        f'<article>{a}<div class="userposts"><p>I think that this is a great article, thank you so much.</p></div></article>', f'<div class="story">{a}</div><div class="userposts"><p>I think that this is a great article, thank you so much.</p></div>',
+        f'<article>{a}<div class="reviews"><p>I think that this is a great book, thank you so much.</p></div></article>', f'<div class="post">{a}</div><div class="site-footer"><p>Made by hand in the north, since 1999.</p></div>',
+    ):
+        assert h.main_text(page) == want, page
+    assert h.class_words("layout has-sidebar") == (False, False, False) and h.class_words("post comments-open")[0] and h.class_words("topnav x")[1]
+
+
+def test_cut_differs_from_the_signs_and_is_right():
+    """Blocks whose own evidence is wrong, and which their neighbours set right."""
+    p = f"<p>{ARTICLE} {ARTICLE}</p>"
+    page = f'<div class="menu"><a href="/">Home</a></div><div>{p}<p>See <a href="/x">the plan of the old bridge</a></p>{p}<ul><li><a href="/d">On doughs and breads</a></li></ul>{p}</div><div><a href="/a">Older</a></div>'
+    blocks = h.blocks_of(page)
+    signs = [h.evidence(b, h.excuse(blocks), h.default_costs()) > 0 for b in blocks]
+    labels = h.label_blocks(blocks)
+    assert labels == [False, True, True, True, True, True, False] and signs != labels
+
+
+def test_costs_hold_on_pages_they_were_not_fitted_on():
+    wrong = total = 0
+    for k, page in enumerate(h.PAGES):
+        blocks = h.blocks_of(page)
+        want = [b.text.startswith("+") for b in blocks]
+        blocks = [h.Block(b.text.lstrip("+"), b.element, b.link_chars) for b in blocks]
+        wrong += sum(a != b for a, b in zip(h.label_blocks(blocks, h.fit_costs(h.PAGES[:k] + h.PAGES[k + 1 :])), want))
+        total += len(want)
+    assert wrong <= 0.05 * total
+
+
+def test_very_long_page():
+    page = "<article>" + f"<p>{ARTICLE}</p>" * 20_000 + "</article>" + "<div>" * 3000 + "x"
+    assert h.main_text(page) == " ".join([ARTICLE] * 20_000)
