@@ -108,10 +108,10 @@ def class_words(value: str) -> tuple[bool, bool, bool]:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "structure", "strong", "weak", "inside", "good", "number", "excused")
+    __slots__ = ("tag", "parent", "structure", "strong", "weak", "inside", "good", "number", "excused", "depth")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, number: int):
-        self.tag, self.parent, self.number, self.excused = tag, parent, number, False
+        self.tag, self.parent, self.number, self.excused, self.depth = tag, parent, number, False, parent.depth + 1 if parent else 0
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         self.good = bool(parent and parent.good)
         self.structure, self.strong, self.weak = tag in BAD_TAGS or (tag == "header" and not self.inside), False, False
@@ -391,25 +391,36 @@ def label_blocks(blocks: list[Block], costs: Costs | None = None) -> list[bool]:
     def share(k: int) -> float:
         return costs.tag_edge if k == STRUCTURE else costs.class_edge if k == CLASS else 1.0
 
-    def node(e: Element) -> int:
-        if e.number not in nodes:
-            nodes[e.number] = len(unary)
-            unary.append(0.0)
-            if e.parent is not None:
-                over = costs.tag_edge if e.inside != e.parent.inside else share(e.kind)
-                edges.append((nodes[e.number], node(e.parent), costs.container * over))
-        return nodes[e.number]
+    def node(last: Element) -> int:
+        e, own = last, None
+        while True:  # up to the first element that is known
+            known = e.number in nodes
+            k = nodes.setdefault(e.number, len(unary))
+            if not known:
+                unary.append(0.0)
+            if own is not None:
+                edges.append((own[0], k, costs.container * own[1]))
+            if known or e.parent is None:
+                return nodes[last.number]
+            own = k, costs.tag_edge if e.inside != e.parent.inside else share(e.kind)
+            e = e.parent
+
+    def loosest(a: Element, b: Element) -> float:
+        """The least share over the elements that hold only one of two blocks."""
+        least = costs.tag_edge if a.inside != b.inside else 1.0
+        while a is not b:
+            if a.depth >= b.depth:
+                least, a = min(least, share(a.kind)), a.parent
+            else:
+                least, b = min(least, share(b.kind)), b.parent
+        return least
 
     for k, b in enumerate(blocks):
         edges.append((k, node(b.element), costs.container))
         if k:
             a = blocks[k - 1].element
-            own, other = a.above(), b.element.above()
-            shared = {e.number for e in own} & {e.number for e in other}
-            between = [e for e in own + other if e.number not in shared]
-            loose = min([costs.tag_edge if a.inside != b.element.inside else 1.0, *(share(e.kind) for e in between)])
             near = 1.0 if a is b.element or a.parent is b.element.parent else 0.5
-            edges.append((k - 1, k, costs.neighbour * near * loose))
+            edges.append((k - 1, k, costs.neighbour * near * loosest(a, b.element)))
     return min_cut(unary, edges)[: len(blocks)]
 
 
