@@ -2,8 +2,9 @@
 
 Words become symbols: insult (with a weight), target, negation, reported speech, agent, modal, violence, end
 of clause. Small transducers read a clause's symbols side by side, as one composed machine: one each for
-negation, reported speech, targets and threats. An insult is worth its weight, changed by the states the others are
-in; a threat (agent, modal, violence, target, in this order) is worth its own. Clauses are scored whole, and
+insults, negation, reported speech, targets and threats. An insult counts in full where its clause aims it at a target, before or after it,
+or heaps it on another insult; mentioned by itself it counts for a small share. Negation and reported speech take away from both. A threat
+(agent, modal, violence, target, in this order) counts by itself. Clauses are scored whole, and
 a document's score is a logistic function of its clauses' sums, so isolated words count for less than
 matched clauses, and a stem that others use now and then for less than one used all the time.
 
@@ -11,7 +12,8 @@ The insult lexicon (words and word stems) and the logistic weights are learned o
 labelled rows at most, chosen by a hash of the id; every row is scored, over its whole text.
 
 Null and blank texts match nothing and get the score of a text without a match. Repeated rows are scored
-each. Rows without a label, and ids with contradicting labels (the larger wins), do no harm. Where nothing
+each; of an id's clashing texts the one with the smallest hash is learned from. Rows without a label, and ids with contradicting
+labels (the larger wins), do no harm. Where nothing
 can be learned (no labels, or all alike) the score is the share of toxic labels, 0 without labels.
 """
 
@@ -29,7 +31,10 @@ from pyspark.sql import types as T
 
 from .common import cut, ship, texts
 
-OTHER, INSULT, TARGET, NEGATION, REPORT, AGENT, MODAL, VIOLENCE, SELF = range(9)
+OTHER, INSULT, TARGET, NEGATION, REPORT, AGENT, MODAL, VIOLENCE = range(8)
+N_SYMBOLS = 8
+#: Factors of an insult that stands by itself, and of one that is aimed or heaped.
+ALONE, AIMED = 0.3, 1.5
 _END = 16
 
 #: Closed classes of the grammar, in the languages of the corpus.
@@ -70,16 +75,31 @@ class Reported:
         return state, 0.6 if state and symbol == INSULT else 1.0
 
 
-class Targeted:
-    """State: how many more words a target reaches."""
+class Insulting:
+    """State: how many more words an insult reaches back over to the next one. Heaped insults are matched."""
 
-    states = range(5)
+    states = range(3)
 
     @staticmethod
     def step(state: int, symbol: int) -> tuple[int, float]:
+        if symbol == INSULT:
+            return 2, AIMED / ALONE if state else 1.0
+        return max(0, state - 1), 1.0
+
+
+class Targeted:
+    """State: how many more words a target reaches forward, and an insult that waits for a target reaches back to it."""
+
+    states = tuple(product(range(5), range(4)))
+
+    @staticmethod
+    def step(state: tuple[int, int], symbol: int) -> tuple[tuple[int, int], float]:
+        ahead, waiting = state
         if symbol == TARGET:
-            return 4, 1.0
-        return max(0, state - 1), 1.5 if state and symbol == INSULT else 1.0
+            return (4, 0), AIMED / ALONE if waiting else 1.0  # the factor of the insult that waited
+        if symbol == INSULT:
+            return (max(0, ahead - 1), 0 if ahead else 3), AIMED / ALONE if ahead else 1.0
+        return (max(0, ahead - 1), max(0, waiting - 1)), 1.0
 
 
 class Threat:
@@ -96,29 +116,34 @@ class Threat:
 
 
 def compose(*machines) -> dict:
-    """The product machine: (states, symbol) to (states, factor of an insult, completed threats)."""
+    """The product machine: (states, symbol) to (states, factor of an insult, whether it is matched, completed threats, factor of an insult before)."""
     table = {}
     for states in product(*(m.states for m in machines)):
-        for symbol in range(SELF + 1):
-            moves = [m.step(s, symbol) for m, s in zip(machines, states)]
-            factor = float(np.prod([f for m, (_, f) in zip(machines, moves) if m is not Threat]))
-            threats = sum(f > 1 for m, (_, f) in zip(machines, moves) if m is Threat)
-            table[states, symbol] = tuple(s for s, _ in moves), factor, threats
+        for symbol in range(N_SYMBOLS):
+            moves = [(m, *m.step(s, symbol)) for m, s in zip(machines, states)]
+            matched = max([f for m, _, f in moves if m in (Insulting, Targeted)], default=1.0)
+            other = float(np.prod([f for m, _, f in moves if m not in (Insulting, Targeted, Threat)]))
+            threats = sum(f > 1 for m, _, f in moves if m is Threat)
+            here = matched * other if symbol == INSULT else 1.0
+            table[states, symbol] = tuple(s for _, s, _ in moves), here, matched > 1, threats, matched if symbol == TARGET else 1.0
     return table
 
 
-GRAMMAR = compose(Negation, Reported, Targeted, Threat)
-START = (0, 0, 0, 0)
+GRAMMAR = compose(Insulting, Negation, Reported, Targeted, Threat)
+START = (0, 0, 0, (0, 0), 0)
 
 
 def score_clause(symbols: list[int], weights: list[float]) -> tuple[float, int]:
     """(weight of the insults matched, threats) of a clause."""
-    state, total, threats = START, 0.0, 0
+    state, total, threats, waiting = START, 0.0, 0, 0.0
     for s, w in zip(symbols, weights):
-        state, factor, t = GRAMMAR[state, s]
+        state, factor, matched, t, before = GRAMMAR[state, s]
         threats += t
         if s == INSULT:
-            total += w * factor
+            value = w * ALONE * factor
+            total, waiting = total + value, 0.0 if matched else value
+        elif before > 1:
+            total, waiting = total + waiting * (before - 1), 0.0
     return total, threats
 
 
@@ -232,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     of = of.orderBy(F.xxhash64("id"), "id").limit(max_fit)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.col("body").isNotNull())
-    chosen = cut(rows.join(F.broadcast(of), "id").dropDuplicates(["id"]).select("body", "y"))
+    one = rows.join(F.broadcast(of), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "body", "y")).alias("row"))
+    chosen = cut(one.select("row.body", "row.y"))
     n = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:

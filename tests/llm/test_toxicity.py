@@ -16,34 +16,54 @@ def weight(text):
 
 
 def test_grammar_on_clauses():
-    assert weight("the blorg sat") == 3.0
-    assert weight("you are a blorg") == 4.5
+    assert weight("the blorg sat") == round(3.0 * t.ALONE, 6)
+    assert weight("you are a blorg") == 4.5 == weight("what a blorg are you")
     assert weight("he is not a blorg") == round(3.0 * 1.5 * 0.4, 6)
-    assert weight("never, blorg") == 3.0  # the negation ends with its clause
-    assert weight("Smith said blorg things") == round(3.0 * 0.6, 6)
-    assert weight("Smith said. Blorg!") == 3.0
-    assert weight("a snarfeling and a snarf") == 2.0  # a stem begins a longer word
+    assert weight("never, blorg") == round(3.0 * t.ALONE, 6)  # the negation ends with its clause
+    assert weight("Smith said blorg things") == round(3.0 * t.ALONE * 0.6, 6)
+    assert weight("Smith said. Blorg!") == round(3.0 * t.ALONE, 6)
+    assert weight("a blorg blorg") == round(3.0 * t.ALONE + 4.5, 6)  # heaped
+    assert weight("a blorg blorg, you") == weight("a blorg blorg")
+    assert weight("a snarfeling and a snarf") == round(2.0 * t.ALONE, 6)  # a stem begins a longer word
     assert parts("I will surely kill you")[5] == 1.0 and parts("I will kill time")[5] == 0.0 and parts("you kill, I will")[5] == 0.0
     assert parts(None) == parts("") == parts("quite harmless words") == [0.0] * t.N_FEATURES
 
 
+def test_a_mention_weighs_far_less_than_an_aimed_insult():
+    mention, aimed = weight("The word blorg is an old noun"), weight("You are an old blorg")
+    assert 0 < mention <= 0.25 * aimed
+
+
 def test_composed_machine_equals_its_parts():
     rng = random.Random(9)
-    machines = (t.Negation, t.Reported, t.Targeted, t.Threat)
+    machines = (t.Insulting, t.Negation, t.Reported, t.Targeted, t.Threat)
     for _ in range(300):
-        symbols = [rng.randrange(t.SELF) for _ in range(rng.randint(1, 12))]
-        states, total, threats = [0] * 4, 0.0, 0
+        symbols = [rng.randrange(t.N_SYMBOLS) for _ in range(rng.randint(1, 12))]
+        states, total, threats, waiting = list(t.START), 0.0, 0, None
         for s in symbols:
-            factor = 1.0
+            factor, matched, had = 1.0, 1.0, states[3][1]
             for i, m in enumerate(machines):
                 states[i], f = m.step(states[i], s)
                 threats += m is t.Threat and f > 1
-                factor *= 1.0 if m is t.Threat else f
-            total += factor if s == t.INSULT else 0
+                factor *= f if m in (t.Negation, t.Reported) else 1.0
+                matched = max(matched, f if m in (t.Insulting, t.Targeted) else 1.0)
+            if s == t.INSULT:
+                value = t.ALONE * factor * matched
+                total, waiting = total + value, 0.0 if matched > 1 else value
+            elif s == t.TARGET and had:
+                total += waiting * (t.AIMED / t.ALONE - 1)
         got = t.score_clause(symbols, [1.0] * len(symbols))
         assert abs(got[0] - total) < 1e-9 and got[1] == threats
 
 
+def test_repeated_ids_with_clashing_texts_and_very_long_texts(spark):
+    rows, labels = corpus(300)
+    rows += [(3, "another text dolt dolt %d" % k, "en", "s", 1, "x", 2) for k in range(5)] + [(4, "word " * 200_000 + "you dolt", "en", "s", 1, "x", 2)]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    first, again = ({(r.doc_id, r.score) for r in t.score(d, t.fit(d, marks)).collect()} for d in (docs, docs.repartition(7)))
+    assert first == again
+
+
 def corpus(n=1200):
     rng, rows, labels = random.Random(10), [], []
     words = ["w%s" % "abcdefghij"[i % 10] * (1 + i // 10) for i in range(60)]
