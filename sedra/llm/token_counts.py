@@ -1,12 +1,14 @@
 """Token counts under a unigram vocabulary, without tokens: count-only Viterbi.
 
 An Aho-Corasick automaton lists every vocabulary piece that ends at each character of a word; dynamic
-programming carries the best score and that path's number of pieces. Rules of the tokenizer kept exactly:
+programming carries the best score and that path's number of pieces, and nothing else: a ring of as many entries as the longest
+piece has characters, whatever the length of the word. Rules of the tokenizer kept exactly:
 scores add in double precision; among paths of equal score the piece that starts first (the longest) wins;
 a character that is no piece of its own is unknown, at the lowest score less 10; neighbouring unknown
 characters are one token, or, with byte fallback, as many as they have UTF-8 bytes. Words (runs of anything
 but ASCII white space) are marked by a leading U+2581 and counted one by one, so a text's count is the sum
-over its words; counts of short words are remembered.
+over its words; counts of short words are remembered. The scores of the default vocabulary are merge ranks, as its
+file holds no unigram model.
 
 Null and blank texts have 0 tokens. Repeated rows are counted each.
 """
@@ -54,6 +56,7 @@ class Counter:
         self.unknown = vocabulary.pieces[0][0]
         self.floor = min(s for _, s in vocabulary.pieces) - UNKNOWN_PENALTY
         self.pieces = {p for p, _ in vocabulary.pieces}
+        self.longest = max(map(len, self.pieces))
         self.fallback = vocabulary.byte_fallback and all(f"<0x{i:02X}>" in self.pieces for i in range(256))
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
@@ -62,38 +65,41 @@ class Counter:
         self.known: dict[bytes, int] = {}
         self.most = most
 
-    def _best(self, word: str) -> tuple[list[int], list[bool]]:
-        """For every end of a prefix, the start of its best path's last piece, and whether that is unknown."""
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(word):
-            ends[end + 1].append(match)
-        score, start, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for e in range(1, n + 1):
-            best, at, un, single = -math.inf, 0, False, False
-            for length, s, u in sorted(ends[e], key=lambda m: -m[0]):
-                single |= length == 1
-                if (x := s + score[e - length]) > best:
-                    best, at, un = x, e - length, u
-            if not single and self.floor + score[e - 1] > best:
-                best, at, un = self.floor + score[e - 1], e - 1, True
-            score[e], start[e], unknown[e] = best, at, un
-        return start, unknown
-
     def word(self, word: str) -> int:
         """The number of tokens of a marked word."""
-        start, unknown = self._best(word)
-        count, e = 0, len(word)
-        while e:
-            if not unknown[e]:
-                count, e = count + 1, start[e]
-                continue
-            end = e
-            while e and unknown[e]:
-                e = start[e]
-            run = word[e:end]
-            count += len(run.encode()) if self.fallback and run not in self.pieces else 1
-        return count
+        n, floor = len(word), self.floor
+        size = min(n, self.longest) + 1
+        # For each end of a prefix: its best score, the tokens of that path before its last run of unknown characters, and that run's start (or -1) and bytes.
+        score, count, start, width = [0.0] * size, [0] * size, [-1] * size, [0] * size
+        matches = self.automaton.iter(word)
+        end, match = next(matches, (n, None))
+        for e in range(1, n + 1):
+            best, length, un, single = -math.inf, 1, False, False
+            while end == e - 1:
+                k, s, u = match
+                single |= k == 1
+                x = s + score[(e - k) % size]
+                if x > best or (x == best and k > length):
+                    best, length, un = x, k, u
+                end, match = next(matches, (n, None))
+            if not single and floor + score[(e - 1) % size] > best:
+                best, length, un = floor + score[(e - 1) % size], 1, True
+            p, at = (e - length) % size, e % size
+            if un:
+                b = len(word[e - length : e].encode("utf-8", "surrogatepass"))
+                row = (count[p], start[p], width[p] + b) if start[p] >= 0 else (count[p], e - length, b)
+            else:
+                row = (self._closed(word, e - length, count[p], start[p], width[p]) + 1, -1, 0)
+            score[at], (count[at], start[at], width[at]) = best, row
+        p = n % size
+        return self._closed(word, n, count[p], start[p], width[p])
+
+    def _closed(self, word: str, end: int, count: int, start: int, width: int) -> int:
+        """count, and the tokens of the run of unknown characters from start to end."""
+        if start < 0:
+            return count
+        known = end - start <= self.longest and word[start:end] in self.pieces
+        return count + (width if self.fallback and not known else 1)
 
     def text(self, text: str | None) -> tuple[int, int]:
         """(tokens, words)."""

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
@@ -43,3 +44,15 @@ def test_rows(spark):
     hello = library(tc.load_vocabulary())("Hello world")
     assert sorted((str(r.doc_id), r.n_tokens, r.n_words) for r in got) == [("1", hello, 2), ("1", hello, 2), ("2", 0, 0), ("3", 0, 0), ("None", 1, 1)]
     assert tc.count_tokens(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_memory_does_not_grow_with_the_word():
+    counter = tc.Counter(tc.load_vocabulary())
+    word = tc.MARK + "".join(chr(0x4E00 + (i * i) % 2000) for i in range(100_000))
+    counter.word(word[:100])
+    tracemalloc.start()
+    n = counter.word(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000 and n >= 100_000
+    assert n == library(tc.load_vocabulary())(word[1:])
