@@ -1,8 +1,9 @@
 """BM25 over index tables: okapi, plus and l variants, top-k for batches of queries.
 
 The index is four tables: tf (doc, term, tf), doclen (doc, pos, dl), idf (term, df, idf) and stats (n, avgdl).
-A search joins the queries' terms with them; documents outside the join share one score per query (0, or for
-plus and l the sum of the terms' delta parts), so they are added only where fewer than k documents match.
+Searches score batches of documents against blocks of queries and keep each partition's k best, so no pair of query and
+document becomes a row unless it is among them. Documents without a query term share one score per query (0, or for
+plus and l the sum of the terms' delta parts); where they may fill up the k, they compete by it like all others.
 """
 
 from __future__ import annotations
@@ -138,134 +139,153 @@ def score(hits: DataFrame, known: DataFrame, stats: DataFrame, model: Bm25) -> t
     return sums.join(base, "query").select("query", "doc", "pos", (F.col("gain") + F.col("base")).alias("score")), base
 
 
-def known_terms(terms: DataFrame, idf: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((query, term, qf, idf), (term)) of the queries; both broadcast if there are few enough, by a count."""
-    known = staged(terms.join(idf.select("term", "idf"), "term"))
-    asked = known.select("term").distinct()
-    if known.count() > MAX_BROADCAST_TERMS:
-        return known, asked
-    return F.broadcast(known), F.broadcast(asked)
-
-
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query by rounded score, ties in corpus order, with rank."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
-    rows = scored.withColumn("score", F.round("score", 6) + F.lit(0.0)).withColumn("rank", F.row_number().over(w))
+    rows = scored.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6 + F.lit(0.0)).withColumn("rank", F.row_number().over(w))
     return rows.where(F.col("rank") <= k).select("query", "doc", "rank", "score")
 
 
-def _padded(scored: DataFrame, base: DataFrame, terms: DataFrame, doclen: DataFrame, k: int) -> DataFrame:
-    """scored, and documents without a query term for the queries where they can be among the best k.
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """As ranked rounds: half up on the sixth place, without negative zeros. Rounding again changes nothing."""
+    return np.floor(x * 1e6 + 0.5) / 1e6 + 0.0
 
-    Those are the queries of which fewer than k matches score at least as much as no match does. Of the first
-    k + m documents, m at most match, so the k first others are among them. m is below k unless the mean idf
-    is negative, where most terms stand in most documents.
-    """
-    found = scored.join(base, "query").groupBy("query").agg(F.count("*").alias("m"), F.sum((F.col("score") >= F.col("base")).cast("long")).alias("good"))
-    short = staged(terms.select("query").distinct().join(found, "query", "left").where(F.coalesce("good", F.lit(0)) < k).select("query", F.coalesce("m", F.lit(0)).alias("m")))
-    most = short.agg(F.max("m")).first()[0]
-    if most is None:
-        return scored
-    first = doclen.orderBy("pos").limit(k + most).select("doc", "pos")
-    others = short.select("query").crossJoin(first).join(scored.select("query", "doc"), ["query", "doc"], "left_anti")  # k + m rows a query
-    others = others.join(base, "query", "left").select("query", "doc", "pos", F.coalesce("base", F.lit(0.0)).alias("score"))
-    return scored.unionByName(others)
 
-
-def search(index: Index, queries: DataFrame, k: int = 10, model: Bm25 = Bm25(), query_id: str = "query_id", query_text: str = "text", docs: DataFrame | None = None, pad_zero: bool = True, segmenter=None) -> DataFrame:
-    """(query, doc, rank, score): k documents for each query that has a token.
-
-    docs: (doc) the documents to score, e.g. those that pass a filter; the statistics stay the index's.
-    pad_zero: documents without a query term fill up to k in corpus order.
-    """
-    terms = query_terms(queries, query_id, query_text, segmenter)
-    doclen = index.doclen if docs is None else index.doclen.join(docs.select("doc"), "doc", "left_semi")
-    known, asked = known_terms(terms, index.idf)
-    hits = index.tf.join(asked, "term", "left_semi").join(doclen, "doc")
-    scored, base = score(hits, known, index.stats, model)
-    if not pad_zero:
-        return ranked(scored, k)
-    scored = staged(scored)
-    return ranked(_padded(scored, base, terms, doclen, k), k)
+def _blocks(known: list, silent: list) -> list[list]:
+    """Queries in blocks of bounded numbers of queries and terms. silent: queries of which no term is known."""
+    n_terms: dict = dict.fromkeys(silent, 0)
+    for r in known:
+        n_terms[r["query"]] = n_terms.get(r["query"], 0) + 1
+    blocks, size = [[]], 0
+    for q in sorted(n_terms):
+        if size and (size + n_terms[q] > BLOCK_TERMS) or len(blocks[-1]) >= BLOCK_QUERIES:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(q)
+        size += n_terms[q]
+    return [x for x in blocks if x]
 
 
-def _best_of_blocks(side: DataFrame, known: list, avgdl: float, k: int, model: Bm25) -> DataFrame:
-    """(query, doc, pos, score): of each partition the k best documents for each query of the blocks.
+def _best_of_blocks(side: DataFrame, known: list, silent: list, avgdl: float, runs: list[tuple[int, Bm25]], pad: bool) -> DataFrame:
+    """(run, query, doc, pos, score): of each partition the best documents for each query, for each run (k, model).
 
-    A batch of documents becomes a matrix of term weights, a block of queries one of query weights; their
-    product are the scores. So no pair of document and query becomes a row unless it is among the best.
+    side: (doc, dl, terms[, tfs]); without tfs, repeated terms count. known: rows with idf_0, idf_1, ... for the runs.
     """
     spark = side.sparkSession
     ship(spark)
-    by_query: dict = {}
-    for r in known:
-        by_query.setdefault(r["query"], []).append(r)
-    blocks, size = [[]], 0
-    for q in sorted(by_query):
-        if size and (size + len(by_query[q]) > BLOCK_TERMS or len(blocks[-1]) >= BLOCK_QUERIES):
-            blocks.append([])
-            size = 0
-        blocks[-1].append(q)
-        size += len(by_query[q])
     kind = next(f.dataType for f in side.schema.fields if f.name == "doc")
     lists = []
-    for block in (x for x in blocks if x):
-        rows = [r for q in block for r in by_query[q]]
+    for block in _blocks(known, silent):
+        of = {q: i for i, q in enumerate(block)}
+        rows = sorted((r for r in known if r["query"] in of), key=lambda r: r["term"])
         terms = sorted({r["term"] for r in rows})
-        at, of = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(block)}
-        weight = np.zeros((len(terms), len(block)))
-        for r in rows:
-            weight[at[r["term"]], of[r["query"]]] = r["qf"] * r["idf"]
-        there = np.zeros(weight.shape, np.float32)
-        there[[at[r["term"]] for r in rows], [of[r["query"]] for r in rows]] = 1
-        shared = spark.sparkContext.broadcast((terms, weight, there))
+        at = {t: i for i, t in enumerate(terms)}
+        # Postings of the block's terms: which queries ask for a term, and their weights in each run.
+        first = np.zeros(len(terms) + 1, np.int64)
+        np.add.at(first, [at[r["term"]] + 1 for r in rows], 1)
+        queries = np.array([of[r["query"]] for r in rows], np.int64)
+        weights = [np.array([r["qf"] * r[f"idf_{i}"] for r in rows], float) for i in range(len(runs))]
+        shared = spark.sparkContext.broadcast((terms, np.cumsum(first), queries, weights))
         query_type = pa.array(block).type
-        out = T.StructType([T.StructField("query", from_arrow_type(query_type)), T.StructField("doc", kind), T.StructField("score", T.DoubleType())])
-        lists.append(side.select("doc", "dl", "terms").mapInArrow(_scorer(shared, block, avgdl, k, model), out))
+        out = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("query", from_arrow_type(query_type)), T.StructField("doc", kind), T.StructField("score", T.DoubleType())])
+        lists.append(side.mapInArrow(_scorer(shared, block, avgdl, runs, pad, "tfs" in side.columns), out))
     return reduce(DataFrame.unionByName, lists).withColumn("pos", F.col("doc"))
 
 
-def _scorer(shared, block: list, avgdl: float, k: int, model: Bm25):
+def _scorer(shared, block: list, avgdl: float, runs: list[tuple[int, Bm25]], pad: bool, with_tf: bool):
     def run(batches):
-        terms, weight, there = shared.value
-        known, base = pa.array(terms, pa.string()), weight.sum(axis=0) * model.absent
-        rows_at_once = max(1, 4_000_000 // max(1, len(terms)))
+        terms, first, queries, weights = shared.value
+        known, n = pa.array(terms, pa.string()), len(block)
+        bases = [np.bincount(queries, weights=w, minlength=n) * model.absent for w, (_, model) in zip(weights, runs)]
+        asked = np.diff(first)
+        rows_at_once = max(1, 1_000_000 // n)
         best: dict = {}
+
+        def keep_best(at, j, k, ids, s, there):
+            keep = np.arange(len(s)) if pad else np.flatnonzero(there)
+            if len(keep) > k:
+                keep = keep[s[keep] >= np.partition(s[keep], -k)[-k]]
+            i, v = ids[keep], s[keep]
+            if (at, j) in best:
+                i, v = np.concatenate([best[at, j][0], i]), np.concatenate([best[at, j][1], v])
+            order = np.lexsort((i, -v))[:k]
+            best[at, j] = i[order], v[order]
+
         for whole in batches:
             for start in range(0, whole.num_rows, rows_at_once):
                 b = whole.slice(start, rows_at_once)
-                lists = b.column(2)
+                m, lists = b.num_rows, b.column(2)
                 code = pc.index_in(lists.flatten(), value_set=known)
-                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                row = np.repeat(np.arange(m), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
                 hit = code.is_valid().to_numpy(zero_copy_only=False)
-                code = code.fill_null(0).to_numpy(zero_copy_only=False)[hit]
-                tf = np.bincount(row[hit] * len(terms) + code, minlength=b.num_rows * len(terms)).reshape(b.num_rows, len(terms))
-                norm = (1.0 - model.b + model.b * b.column(1).to_numpy(zero_copy_only=False) / avgdl)[:, None]
-                part = np.zeros(tf.shape)
-                r, c = np.nonzero(tf)
-                part[r, c] = model.part(tf[r, c].astype(float), norm[r, 0]) - model.absent
-                score = np.round(part @ weight + base, 6) + 0.0
-                score[((tf > 0).astype(np.float32) @ there) == 0] = -np.inf
+                code, row = code.fill_null(0).to_numpy(zero_copy_only=False)[hit].astype(np.int64), row[hit]
+                if with_tf:
+                    tf = b.column(3).flatten().to_numpy(zero_copy_only=False)[hit].astype(float)
+                else:
+                    cell, tf = np.unique(row * len(terms) + code, return_counts=True) if len(row) else (row, row)
+                    row, code, tf = cell // max(1, len(terms)), cell % max(1, len(terms)), tf.astype(float)
+                norm = 1.0 - model_b + model_b * b.column(1).to_numpy(zero_copy_only=False) / avgdl
+                # Each (document, term) meets the postings of its term.
+                times = asked[code]
+                which = np.repeat(first[code] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum()) if len(code) else np.zeros(0, np.int64)
+                cell = np.repeat(row, times) * n + queries[which]
+                there = (np.bincount(cell, minlength=m * n) > 0).reshape(m, n)
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                for j in range(len(block)):
-                    s = score[:, j]
-                    keep = np.flatnonzero(s > -np.inf)
-                    if len(keep) > k:
-                        keep = keep[s[keep] >= np.partition(s[keep], -k)[-k]]
-                    i, v = ids[keep], s[keep]
-                    if j in best:
-                        i, v = np.concatenate([best[j][0], i]), np.concatenate([best[j][1], v])
-                    order = np.lexsort((i, -v))[:k]
-                    best[j] = i[order], v[order]
-        for j, (i, v) in best.items():
+                for at, ((k, model), w) in enumerate(zip(runs, weights)):
+                    part = model.part(tf, norm[row]) - model.absent
+                    gain = np.bincount(cell, weights=np.repeat(part, times) * w[which], minlength=m * n).reshape(m, n)
+                    s = _rounded(gain + bases[at])
+                    for j in range(n):
+                        keep_best(at, j, k, ids, s[:, j], there[:, j])
+        for (at, j), (i, v) in best.items():
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array([block[j]] * len(i)), pa.array(i), pa.array(v)], ["query", "doc", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(i), pa.int32()), pa.array([block[j]] * len(i)), pa.array(i), pa.array(v)], ["run", "query", "doc", "score"])
 
+    model_b = runs[0][1].b
     return run
 
 
+def _known(terms: DataFrame, idfs: list[DataFrame]) -> DataFrame:
+    """(query, term, qf, idf_0, idf_1, ...): the queries' terms that the corpus has."""
+    for i, idf in enumerate(idfs):
+        terms = terms.join(idf.select("term", F.col("idf").alias(f"idf_{i}")), "term")
+    return staged(terms)
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, model: Bm25 = Bm25(), query_id: str = "query_id", query_text: str = "text", docs: DataFrame | None = None, pad_zero: bool = True, segmenter=None) -> DataFrame:
+    """(query, doc, rank, score): k documents for each query that has a token.
+
+    docs: (doc) the documents to score, e.g. those that pass a filter; the statistics stay the index's.
+    pad_zero: documents without a query term fill up to k in corpus order. Of the index only the rows of the queries' terms are
+    shuffled, to their documents. The driver holds the terms of at most MAX_BROADCAST_TERMS at once: more are asked in parts.
+    """
+    terms = staged(query_terms(queries, query_id, query_text, segmenter))
+    known = _known(terms, [index.idf])
+    parts = max(1, -(-terms.count() // max(1, MAX_BROADCAST_TERMS)))
+    part = F.pmod(F.xxhash64("query"), F.lit(parts))
+    doclen = index.doclen if docs is None else index.doclen.join(docs.select("doc"), "doc", "left_semi")
+    wanted = known.select("term").distinct()
+    rows = index.tf.join(F.broadcast(wanted) if parts == 1 else wanted, "term", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
+    side = doclen.join(rows, "doc", "left" if pad_zero else "inner").select("doc", "dl", F.coalesce("t.term", F.array().cast("array<string>")).alias("terms"), F.coalesce("t.tf", F.array().cast("array<bigint>")).alias("tfs"))
+    about = index.stats.first()
+    if about is None or not about.avgdl or not terms.limit(1).count():
+        return doclen.join(terms, F.lit(False)).select("query", "doc", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+    side = staged(side) if parts > 1 else side
+    lists = []
+    for i in range(parts):
+        asked = [r["query"] for r in terms.where(part == i).select("query").distinct().collect()]
+        if asked:
+            lists.append(_best_of_blocks(side, known.where(part == i).collect(), asked if pad_zero else [], about.avgdl, [(k, model)], pad_zero))
+    return ranked(reduce(DataFrame.unionByName, lists), k)
+
+
 def search_text(docs: DataFrame, queries: DataFrame, k: int = 10, model: Bm25 = Bm25(), id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", keep: Column | None = None) -> DataFrame:
-    """search without a stored index, in two passes over the texts.
+    """search without a stored index, in two passes over the texts; documents without a query term do not come out."""
+    return search_runs(docs, queries, [(k, model)], id_col, text_col, query_id, query_text, keep)[0]
+
+
+def search_runs(docs: DataFrame, queries: DataFrame, runs: list[tuple[int, Bm25]], id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", keep: Column | None = None) -> list[DataFrame]:
+    """search_text for several (k, model) of one b, in the same two passes.
 
     The first counts in how many documents each term occurs, and in the row of the null term all documents
     and their length; this table is staged, as the vocabulary is small beside the corpus. The second scores
@@ -273,19 +293,24 @@ def search_text(docs: DataFrame, queries: DataFrame, k: int = 10, model: Bm25 =
     MAX_BROADCAST_TERMS it joins terms with documents instead, and shuffles. keep: a filter on the columns of
     docs, for the second pass only.
     """
+    if len({model.b for _, model in runs}) > 1:
+        raise ValueError("the runs of a search share b")
     parsed = tokenised(docs, id_col, text_col)
     each = parsed.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"), "dl")
     counts = staged(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
     stats = counts.where("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
-    idf = idf_table(counts.where("term is not null").select("term", "df"), stats, model)
-    known = staged(query_terms(queries, query_id, query_text).join(idf.select("term", "idf"), "term"))
+    idfs = [idf_table(counts.where("term is not null").select("term", "df"), stats, model) for _, model in runs]
+    known = _known(query_terms(queries, query_id, query_text), idfs)
     side = tokenised(docs.where(keep), id_col, text_col) if keep is not None else parsed
     n, about = known.count(), stats.first()
     if 0 < n <= MAX_BROADCAST_TERMS and about is not None:
-        return ranked(_best_of_blocks(side, known.collect(), about.avgdl, k, model), k)
+        best = _best_of_blocks(side.select("doc", "dl", "terms"), known.collect(), [], about.avgdl, runs, False)
+        if len(runs) > 1:
+            best = staged(best)
+        return [ranked(best.where(F.col("run") == i), k) for i, (k, _) in enumerate(runs)]
     hits = side.select("doc", "pos", "dl", F.explode("terms").alias("term")).join(known.select("term").distinct(), "term", "left_semi")
     hits = hits.groupBy("doc", "pos", "dl", "term").agg(F.count("*").alias("tf"))
-    return ranked(score(hits, known, stats, model)[0], k)
+    return [ranked(score(hits, known.withColumn("idf", F.col(f"idf_{i}")), stats, model)[0], k) for i, (k, model) in enumerate(runs)]
 
 
 def union_ranked(*lists: DataFrame) -> DataFrame:

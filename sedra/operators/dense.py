@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stages import ship
+from ..plans.stages import ship, staged
 
 METRICS = ("cosine", "ip", "l2")
 
@@ -72,14 +72,16 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
 
         return run
 
-    n, lists, at = asked.count(), [], 0
-    numbered = asked.withColumn("n", F.row_number().over(Window.orderBy("query")) - 1) if n > block else asked.withColumn("n", F.lit(0))
-    while at < n:
-        part = numbered.where((F.col("n") >= at) & (F.col("n") < at + block)) if n > block else numbered
-        got = part.select("query", "v").collect()
-        matrix = spark.sparkContext.broadcast(np.array([r.v for r in got], np.float64))
-        lists.append(rows.mapInArrow(local([r["query"] for r in got], matrix), out))
-        at += block
+    # Blocks by a hash of the query: half full on average, so that hardly any exceeds `block`; those that do are cut on the driver.
+    asked = staged(asked)
+    n, lists = asked.count(), []
+    n_blocks = 1 if n <= block else -(-2 * n // block)
+    for i in range(n_blocks if n else 0):
+        got = asked.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == i).select("query", "v").collect()
+        for at in range(0, len(got), block):
+            some = got[at : at + block]
+            matrix = spark.sparkContext.broadcast(np.array([r.v for r in some], np.float64))
+            lists.append(rows.mapInArrow(local([r["query"] for r in some], matrix), out))
     if not lists:
         return spark.createDataFrame([], T.StructType([*out.fields[:2], T.StructField("rank", T.IntegerType()), out.fields[2]]))
     every = reduce(DataFrame.unionByName, lists)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from . import samples as S
 from .functions.text import PUNCTUATION, tokens
-from .operators import bm25, chunk, cite, dense, evaluate, filters, fusion, ids, mine, query, rerank, tables, tag
+from .operators import bm25, chunk, cite, contain, dense, evaluate, filters, fusion, ids, mine, query, rerank, tables, tag
 from .plans import pipeline
+from .plans.stages import few, staged
 
 K, POOL = 10, 20
 
@@ -36,15 +37,15 @@ TOKENS_SQL = (
     f"'{_P}', '{' ' * len(PUNCTUATION)}'), '\\s+', ' ', 'g')), ' '), lambda t: t <> '')"
 )
 CORPUS_SQL = f"""
-parsed AS (SELECT doc_id AS doc, {TOKENS_SQL} AS terms FROM documents),
-tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM parsed) GROUP BY ALL),
+parsed AS MATERIALIZED (SELECT doc_id AS doc, {TOKENS_SQL} AS terms FROM documents),
+tf AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM parsed) GROUP BY ALL),
 dl AS (SELECT doc, len(terms) AS dl FROM parsed),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
 dfs AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
 asked AS (SELECT item_id AS query, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS_SQL}) AS term FROM benchmark) GROUP BY ALL)
 """
 IDF_SQL = {
-    "okapi": "raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)",
+    "okapi": "raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats), mean AS MATERIALIZED (SELECT avg(r) AS mean FROM raw), idf AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, mean)",
     "plus": "idf AS (SELECT term, df, ln((n + 1.0) / df) AS idf FROM dfs, stats)",
     "l": "idf AS (SELECT term, df, ln(n + 1.0) - ln(df + 0.5) AS idf FROM dfs, stats)",
 }
@@ -224,7 +225,7 @@ def vector_upsert(spark, sf_dir):
 
 
 def _two_arms(spark, sf_dir):
-    return _hits(spark, sf_dir, "okapi", POOL), _hits(spark, sf_dir, "l", POOL)
+    return bm25.search_runs(docs_of(spark, sf_dir), questions_of(spark, sf_dir), [(POOL, bm25.Bm25("okapi")), (POOL, bm25.Bm25("l"))])
 
 
 _ARMS = f"""{bm25_sql(k=POOL)}, first AS (SELECT * FROM hits), {IDF_SQL['l'].replace('idf AS', 'idf2 AS', 1)},
@@ -308,8 +309,7 @@ def multiquery_merge(spark, sf_dir):
 
 def gold_of(spark, sf_dir):
     """(query, doc): documents that contain the benchmark item."""
-    docs, items = docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    return docs.join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    return contain.containing(docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 _GOLD = "gold AS (SELECT DISTINCT b.item_id AS query, d.doc_id AS doc FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
@@ -344,15 +344,16 @@ def mrr(spark, sf_dir):
     return _per_query(spark, sf_dir).agg(F.round(F.avg("rr"), 9).alias("mrr"), F.count("*").alias("n_queries"))
 
 
-def _candidates(spark, sf_dir, k=K):
-    """Fused hits with their token arrays and the question's."""
-    docs = docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("terms"))
-    asked = questions_of(spark, sf_dir).select(F.col("query_id").alias("query"), tokens(F.col("text")).alias("asked"))
-    return _hybrid(spark, sf_dir, k).join(docs, "doc").join(asked, "query")
+def _candidates(spark, sf_dir, k=K, hits=None):
+    """Fused hits with their token arrays and the question's: only texts of hits are tokenised."""
+    hits = few(_hybrid(spark, sf_dir, k) if hits is None else hits)
+    docs = docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")
+    asked = few(questions_of(spark, sf_dir).select(F.col("query_id").alias("query"), tokens(F.col("text")).alias("asked")))
+    return docs.join(hits, "doc").withColumn("terms", tokens(F.col("text"))).drop("text").join(asked, "query")
 
 
-def _reranked(spark, sf_dir, top_k=3):
-    return rerank.rerank(_candidates(spark, sf_dir), F.round(rerank.jaccard(F.col("asked"), F.col("terms")), 9), top_k)
+def _reranked(spark, sf_dir, top_k=3, hits=None):
+    return rerank.rerank(_candidates(spark, sf_dir, hits=hits), F.round(rerank.jaccard(F.col("asked"), F.col("terms")), 9), top_k)
 
 
 _JACCARD = "CASE WHEN len(a.terms) > 0 AND len(p.terms) > 0 THEN len(list_intersect(a.terms, p.terms))::DOUBLE / len(list_distinct(list_concat(a.terms, p.terms))) ELSE 0 END"
@@ -377,8 +378,8 @@ SELECT metric, CAST(k AS INTEGER) AS k, round(a, 9) AS before, round(b, 9) AS af
 
 @register("stage_lift", _LIFT_SQL)
 def stage_lift(spark, sf_dir):
-    gold = gold_of(spark, sf_dir)
-    out = evaluate.lift(evaluate.stage(_hybrid(spark, sf_dir), gold, "hybrid"), evaluate.stage(_reranked(spark, sf_dir), gold, "rerank"))
+    gold, hits = staged(gold_of(spark, sf_dir)), staged(_hybrid(spark, sf_dir))
+    out = evaluate.lift(evaluate.stage(hits, gold, "hybrid"), evaluate.stage(_reranked(spark, sf_dir, hits=hits), gold, "rerank"))
     r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
     return out.select("metric", "k", r("before", 9), r("after", 9), r("abs_lift", 9), r("rel_lift_pct", 6))
 
@@ -418,7 +419,7 @@ def score_gate(spark, sf_dir):
     UNION ALL SELECT h.query, h.doc, h.rank, h.rrf_score FROM hybrid h JOIN best b ON b.query = h.query WHERE b.best < 0.2 AND h.rank <= 2""",
 )
 def low_confidence_fallback(spark, sf_dir):
-    candidates = _candidates(spark, sf_dir)
+    candidates = staged(_candidates(spark, sf_dir))
     best = rerank.rerank(candidates, F.round(rerank.jaccard(F.col("asked"), F.col("terms")), 9), 3)
     return rerank.low_confidence_fallback(candidates, best, 2, 0.2).select("query", "doc", "rank", "cross_encoder_score")
 
@@ -439,7 +440,7 @@ def ranking_loss(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    gold = gold_of(spark, sf_dir).groupBy("query").agg(F.min("doc").alias("positive"), F.sort_array(F.collect_set("doc")).alias("extra"))
+    gold = staged(gold_of(spark, sf_dir)).groupBy("query").agg(F.min("doc").alias("positive"), F.sort_array(F.collect_set("doc")).alias("extra"))
     manual = F.array(F.lit(3), F.lit(5)).cast("array<bigint>")
     return gold.select(F.col("query").alias("pair"), "positive", "extra", F.filter(manual, lambda m: (m != F.col("positive")) & (F.col("query") % 2 == 0)).alias("manual"))
 
