@@ -626,3 +626,6 @@ def rag_batch(spark, sf_dir):
         null("string").alias("dieu_title"), "text", F.lit("dieu").alias("chunk_type"), labels.alias("metadata"),
     )
     return pipeline.answer(questions_of(spark, sf_dir), chunks)
+
+
+from . import law_queries, store_queries  # noqa: E402, F401  (they register their queries)
