@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +22,15 @@ def title(first_query: Column, fallback: str = "Cuộc hội thoại mới", len
     return F.trim(F.translate(short, "\n", " "))
 
 
-def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the last row by order; rows without a key go."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 class Sessions:
-    """Conversations as Parquet, a folder for each user.
+    """Conversations as an append-only log of Parquet files, a folder for each user.
 
-    Rows: user_id, conversation_id, title, ts, messages array<struct<role, content>>. Saving replaces the
-    conversation's row in its user's folder only.
+    Rows: conversation_id, title, ts, messages array<struct<role, content>>, version, gone. Saving and deleting append a row in
+    one committed write, so a reader never sees half of a change and a failure loses nothing; of a conversation's rows the one of
+    the highest version counts.
     """
 
-    SCHEMA = "user_id string, conversation_id string, title string, ts string, messages array<struct<role:string,content:string>>"
+    SCHEMA = "conversation_id string, title string, ts string, messages array<struct<role:string,content:string>>, version long, gone boolean"
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
@@ -42,17 +39,21 @@ class Sessions:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/user={user}")
+            rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/user={user}")
         except AnalysisException:
-            return self.spark.createDataFrame([], self.SCHEMA)
+            rows = self.spark.createDataFrame([], self.SCHEMA)
+        last = rows.groupBy("conversation_id").agg(F.max_by(F.struct("title", "ts", "messages", "gone"), "version").alias("r"))
+        return last.select("conversation_id", "r.*").where(~F.col("gone")).drop("gone")
 
-    def _write(self, user: str, rows: DataFrame) -> None:
-        kept = rows.collect()  # one user's conversations
-        self.spark.createDataFrame(kept, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/user={user}")
+    def _append(self, user: str, rows: DataFrame) -> None:
+        rows.withColumn("version", F.lit(time.time_ns())).select("conversation_id", "title", "ts", "messages", "version", "gone").write.mode("append").parquet(f"{self.path}/user={user}")
 
     def save(self, user: str, conversation: str, title_text: str, ts: str, messages: list[tuple[str, str]]) -> None:
-        new = self.spark.createDataFrame([(user, conversation, title_text, ts, messages)], self.SCHEMA)
-        self._write(user, self._read(user).where(F.col("conversation_id") != conversation).unionByName(new))
+        self._append(user, self.spark.createDataFrame([(conversation, title_text, ts, messages, 0, False)], self.SCHEMA))
+
+    def save_all(self, user: str, rows: DataFrame) -> None:
+        """rows: conversation_id, title, ts, messages; without passing through the driver."""
+        self._append(user, rows.withColumn("gone", F.lit(False)))
 
     def load(self, user: str, conversation: str):
         row = self._read(user).where(F.col("conversation_id") == conversation).first()
@@ -65,4 +66,4 @@ class Sessions:
         return self._read(user).select("conversation_id", "title", "ts").orderBy(F.desc("ts"), "conversation_id")
 
     def delete(self, user: str, conversation: str) -> None:
-        self._write(user, self._read(user).where(F.col("conversation_id") != conversation))
+        self._append(user, self.spark.createDataFrame([(conversation, None, None, None, 0, True)], self.SCHEMA))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stages import ship
@@ -42,8 +42,10 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.text(path).count()
 
 
-def read_yaml(path: str) -> dict:
-    """Configuration, on the driver."""
+def read_yaml(path: str, spark: SparkSession | None = None) -> dict:
+    """Configuration, on the driver; with a session, from any store that Spark reads."""
+    if spark is not None:
+        return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f)
 
@@ -55,12 +57,13 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Chunks by chunk_id, or id; of repeated keys the last stays; rows without a key go."""
+    """Chunks by chunk_id, or id; of repeated keys the last stays, by file, place of the split in it, and line; rows without a key go."""
     df = read_jsonl(spark, path, schema)
     key = F.coalesce(*[F.col(c) for c in ("chunk_id", "id") if c in df.columns])
-    df = df.withColumn("chunk_id", key).withColumn("__n", F.monotonically_increasing_id()).where("chunk_id is not null")
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("__n"))
-    return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__n", "__k")
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = df.select(key.alias("key"), at.alias("at"), F.struct(*df.columns).alias("row")).where("key is not null")
+    last = rows.groupBy("key").agg(F.max_by("row", "at").alias("row"))
+    return last.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "chunk_id"], F.col("key").alias("chunk_id")).select("chunk_id", *[c for c in df.columns if c != "chunk_id"])
 
 
 def read_binary_pages(spark: SparkSession, path: str, parser: Callable[[bytes], list[str]], pattern: str = "*.pdf") -> DataFrame:
