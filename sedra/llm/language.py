@@ -6,7 +6,8 @@ families; then one machine for each pair of the family's languages chooses among
 votes the larger sum of margins decides, then the alphabet.
 
 The machines are fitted on the driver on a sample of `max_fit` labelled rows at most, spread evenly over the
-languages and chosen by a hash of the id; every row is predicted, from its whole text.
+languages and chosen by a hash of the id, of an id's clashing texts the one of the smallest hash; every row is predicted, from its
+whole text.
 
 A null text and one without a letter are `und` with score 0, as is every text where nothing could be learned.
 A language of no known family is a family of its own. Repeated rows are predicted each.
@@ -134,19 +135,22 @@ class Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_fit: int) -> DataFrame:
-    """(text, lang) of max_fit rows at most: of each language those with the smallest hash of their id."""
+    """(text, lang) of max_fit rows at most: of each language the texts of the ids with the smallest hashes.
+
+    Only ids and languages are ranked, without repeats; a language whose ids lie in one hash range is thinned by hash buckets
+    first, each bucket ranked for itself, so that no task ranks a whole language. Of an id's clashing texts the one
+    with the smallest hash stays.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("of")).withColumn("h", F.xxhash64("id"))
-    sizes = labelled.groupBy("of").agg(F.count("*").alias("size"))
-    n = sizes.count()
+    distinct = labelled.select("of", "h").distinct()
+    n = labelled.select("of").distinct().count()
     most = max(1, max_fit // max(1, n))
-    # Hashes are uniform: a language's first ones lie below a bound that its size gives, so few rows are ranked.
-    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * most + 100.0) / F.col("size"))
-    sizes = sizes.select(F.col("of").alias("name"), bound.alias("bound"))
-    low = labelled.select("of", "h").join(F.broadcast(sizes) if n <= 10_000 else sizes, F.col("of") == F.col("name")).where("h <= bound").select("of", "h").distinct()
-    ranked = low.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("h"))).where(F.col("k") <= most)
-    limits = ranked.groupBy("of").agg(F.max("h").alias("last")).withColumnRenamed("of", "name")
-    chosen = labelled.join(F.broadcast(limits) if n <= 10_000 else limits, F.col("of") == F.col("name")).where("h <= last")
-    return chosen.dropDuplicates(["id", "of"]).select("body", "of")
+    # In two steps: the first `most` of each of 64 buckets of a language, then of those the first `most`.
+    first = Window.partitionBy("of", "bucket").orderBy("h")
+    few = distinct.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(64))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("h"))).where(F.col("k") <= most).select(F.col("of").alias("name"), F.col("h").alias("low"))
+    chosen = labelled.join(F.broadcast(ranked), (F.col("of") == F.col("name")) & (F.col("h") == F.col("low")))  # max_fit rows at most
+    return chosen.groupBy("of", "h").agg(F.min(F.struct(F.xxhash64("body").alias("t"), "body")).alias("row")).select("row.body", "of")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_fit: int = 3000) -> Model:

@@ -48,3 +48,47 @@ def test_nothing_to_learn(spark):
     assert [r.lang_pred for r in language.predict(one, language.fit(one)).collect()] == ["en"]
     none = df.limit(0)
     assert language.predict(none, language.fit(none)).count() == 0
+
+
+def test_rows_of_few_ids_are_learned_too(spark):
+    rows = [(7, t, "de", "s", 1, "x", 2) for _, t, lang, *_ in corpus(600) if lang == "de"] * 5 + [r for r in corpus(600) if r[2] == "en"]
+    df = spark.createDataFrame(rows, SCHEMA)
+    n = {r.of: r["count"] for r in language.sample(df, "doc_id", "text", "lang", 100).groupBy("of").count().collect()}
+    assert n == {"de": 1, "en": 50}
+    a, b = (sorted(map(tuple, language.sample(d, "doc_id", "text", "lang", 100).collect())) for d in (df, df.repartition(5)))
+    assert a == b
+
+
+def test_votes_against_a_plain_machine():
+    """The machines again, in plain Python: squared hinge loss by small gradient steps, votes, margins, the alphabet."""
+    rng = random.Random(3)
+    centres = {"a": (2, 0), "b": (-1, 2), "c": (-1, -2)}
+    rows = [(lang, [x + rng.gauss(0, 0.4) for x in centres[lang]]) for lang in centres for _ in range(40)]
+    x, labels = language.np.array([v for _, v in rows], language.np.float32), [lang for lang, _ in rows]
+    votes = language.Votes.fit(x, labels)
+
+    def plain(pos, neg):
+        w = [0.0, 0.0, 0.0]
+        for _ in range(4000):
+            g = [1e-4 * v for v in w]
+            for side, group in ((1, pos), (-1, neg)):
+                for v in group:
+                    slack = max(0.0, 1 - side * (w[0] * v[0] + w[1] * v[1] + w[2]))
+                    for k, u in enumerate((*v, 1.0)):
+                        g[k] -= 2 * 0.5 / len(group) * side * slack * u
+            w = [a - 0.05 * b for a, b in zip(w, g)]
+        return w
+
+    of = {c: [v for lang, v in rows if lang == c] for c in "abc"}
+    machines = {(i, j): plain(of[i], of[j]) for i, j in (("a", "b"), ("a", "c"), ("b", "c"))}
+    for _ in range(200):
+        v = [rng.uniform(-3, 3), rng.uniform(-3, 3)]
+        won, margin = dict.fromkeys("abc", 0), dict.fromkeys("abc", 0.0)
+        near = False
+        for (i, j), w in machines.items():
+            m = w[0] * v[0] + w[1] * v[1] + w[2]
+            near |= abs(m) < 0.1
+            won[i if m >= 0 else j] += 1
+            margin[i], margin[j] = margin[i] + m, margin[j] - m
+        best = min("abc", key=lambda c: (-won[c], -margin[c], c))
+        assert near or votes.choose(language.np.array(v, language.np.float32))[0] == best
