@@ -14,7 +14,8 @@ Where the benchmark has at most `max_filter` windows, their hashes and words go
 only windows that occur in the benchmark are shuffled; beyond that, all windows of the documents are.
 
 Null and empty texts have no windows. Items of fewer than five tokens have none either and are never found.
-Documents are known by their id: rows that repeat an id count as one document; a null id is one of its own.
+Documents are known by their id and a hash of their text: rows that repeat both count as one document, texts that share an id, or
+have none, are judged each.
 """
 
 from __future__ import annotations
@@ -229,6 +230,12 @@ def _judge(batches):
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_filter: int = 1_000_000) -> DataFrame:
     """(id, item_id, coverage, reparameterised): the items that each document contains."""
+    found = _leaks(docs, items, id_col, text_col, item_id, item_text, max_filter)
+    return found.select(F.col("doc.id").alias(id_col), F.col("item").alias(item_id), "coverage", "reparameterised")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str = "item_id", item_text: str = "text", max_filter: int = 1_000_000) -> DataFrame:
+    """(doc, item, coverage, reparameterised); doc: (id, h), h a hash of the text."""
     spark = docs.sparkSession
     ship(spark)
     of_items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).mapInArrow(_template_rows("item", "body", items=True), _schema(items.schema[item_id], "item", True))
@@ -240,14 +247,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         hashes = np.unique(np.array([r.h for r in of_items.select("h").distinct().collect()], np.int64).view(np.uint64))
         vocabulary = {r.w: xxhash.xxh3_64_intdigest(r.w) >> _FLAGS | 4 for r in of_items.select(F.explode("words").alias("w")).distinct().collect()}
         known = spark.sparkContext.broadcast((vocabulary, hashes))
-    of_docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).mapInArrow(_template_rows("doc", "body", known), _schema(docs.schema[id_col], "doc", False))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("doc"), F.col(text_col).alias("body"))
+    of_docs = rows.mapInArrow(_template_rows("doc", "body", known), _schema(rows.schema["doc"], "doc", False))
     right = of_items.select("item", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     hits = of_docs.join(right, "h").withColumn("d", F.col("pos") - F.col("item_pos")).withColumn("same", F.col("item_slots").eqNullSafe(F.col("slots")))
     hits = hits.withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     diagonals = hits.groupBy("doc", "item", "d").agg(F.collect_set("item_pos").alias("places"), F.collect_set(F.when(F.col("same"), F.col("item_pos"))).alias("same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     found = diagonals.groupBy("doc", "item").agg(F.collect_list(F.struct("d", "places", "same", "pairs")).alias("diagonals")).join(reach, "item").select("doc", "item", "diagonals", "reach")
-    out = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("item", items.schema[item_id].dataType), T.StructField("coverage", T.DoubleType()), T.StructField("reparameterised", T.BooleanType())])
-    return found.mapInArrow(_judge, out).select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "coverage", "reparameterised")
+    out = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("item", items.schema[item_id].dataType), T.StructField("coverage", T.DoubleType()), T.StructField("reparameterised", T.BooleanType())])
+    return found.mapInArrow(_judge, out)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000, **more) -> DataFrame:
@@ -255,7 +263,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Up to max_broadcast ids, by a count, go to the executors; more are joined by a shuffle of docs.
     """
-    bad = cut(leaks(docs, items, id_col, text_col, **more).select(F.col(id_col).alias("__bad")).distinct())
+    bad = cut(_leaks(docs, items, id_col, text_col, **more).select(F.col("doc.id").alias("__bad"), F.col("doc.h").alias("__bad_text")).distinct())
     if bad.count() <= max_broadcast:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs[text_col]) == bad["__bad_text"]), "left_anti")
