@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stages import ship  # noqa: F401
+from ..plans.stages import remove, shared_dir, ship  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints; a local one only where the session names none."""
-    sc = spark.sparkContext
-    if (known := sc._jsc.sc().getCheckpointDir()).isDefined():
-        return known.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
