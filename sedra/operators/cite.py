@@ -146,13 +146,6 @@ def tag_of(unknown: str = "[Không rõ nguồn]") -> Column:
     return F.when(inner == "", unknown).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
 
 
-def as_text() -> Column:
-    """A citation row in words."""
-    part = lambda name, c: F.concat(F.lit(name + " "), F.col(c))
-    decree = F.concat(F.lit("Nghị định "), F.col("decree_number"), F.lit("/"), F.col("decree_year"), F.lit("/NĐ-CP"))
-    return F.concat_ws(", ", part("Điểm", "diem"), part("Khoản", "khoan"), part("Điều", "dieu"), decree, part("QCVN", "qcvn"))
-
-
 def hallucination_rate(citations_: DataFrame) -> DataFrame:
     """(answer_id, rate): unsupported over all of an answer's citations."""
     return citations_.groupBy("answer_id").agg((F.sum((~F.col("supported")).cast("double")) / F.count("*")).alias("rate"))

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import word
-
 MONEY = r"(?<![\p{L}\p{N}_])\d{1,3}(?:\.\d{3})+(?![\p{L}\p{N}_])"
 
 
@@ -201,12 +199,6 @@ def load_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def first_hit(run: DataFrame, gold: DataFrame) -> DataFrame:
-    """(query, doc, rank) of each query's first gold document."""
-    w = Window.partitionBy("query").orderBy("rank")
-    return run.join(gold.select("query", "doc").distinct(), ["query", "doc"]).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-
-
 JUDGED = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 
 
@@ -216,7 +208,3 @@ def judged(cases: DataFrame, judge, metrics: Sequence[str] = JUDGED) -> DataFram
     judge(metric, question, answer, contexts, ground_truth) gives a column of scores, say a UDF around a model.
     """
     return cases.withColumns({m: judge(m, *[F.col(c) for c in ("question", "answer", "contexts", "ground_truth")]).cast("double") for m in metrics})
-
-
-def mentions(text: Column, phrase: str) -> Column:
-    return text.rlike(word(phrase))

@@ -216,8 +216,6 @@ def clean_pages(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", chunk.clean_page(page).alias("text"))
 
 
-_TABLE = F.array(F.array(F.lit("Hành vi"), F.lit("Mức phạt xe ô tô")), F.array(F.lit(" a  b "), F.lit(None).cast("string")), F.array(F.lit(""), F.lit("")))
-
 
 @register(
     "table_chunks",
