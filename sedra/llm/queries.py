@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, language, mixing, pii, quality, simhash, token_counts, toxicity, urls
-from .common import crc32_mod, table
+from .common import crc32_mod, cut, table
 
 
 def op1_token_counts(spark, sf_dir):
@@ -74,6 +74,25 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_targets(spark, sf_dir):
+    """What op10_mixing aims at, before any draw: sizes and targets, which SQL can say."""
+    sized = cut(mixing.sizes(table(spark, sf_dir, "documents")))
+    targets = mixing.source_targets(sized).select(F.col("source").alias("of"), "source_size", F.round("target", 6).alias("target"))
+    return sized.join(F.broadcast(targets) if targets.count() <= mixing.MAX_BROADCAST else targets, F.col("source").eqNullSafe(F.col("of"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target")
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+per AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][CAST(rank % 3 + 1 AS BIGINT)] AS w, 3.0::DOUBLE * source_size AS cap FROM per),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, rank) AS k FROM w),
+b AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(source_size) OVER () AS total FROM o),
+l AS (SELECT *, (total - caps) / rest AS level FROM b),
+free AS (SELECT min_by(level, k) AS level FROM l WHERE level * w <= cap)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(CASE WHEN l.level * w > cap OR free.level IS NULL THEN cap ELSE free.level * w END, 6) AS target FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source, free
+"""
+
+
 _ENDS = ", ".join("'" + c.replace("'", "''") + "'" for c in quality.TERMINAL)
 _WS = r"[\x20\x09-\x0D]"
 OP6_SQL = rf"""
@@ -97,5 +116,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {"op6_quality": OP6_SQL, "op9_url_filters": OP9_SQL}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op3_pii": op3_pii, "op7_decontaminate": op7_decontaminate, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op9_url_filters": op9_url_filters, "op10_mixing": op10_mixing, "mixing_targets": mixing_targets}
+ORACLES: dict[str, str] = {"op6_quality": OP6_SQL, "op9_url_filters": OP9_SQL, "mixing_targets": TARGETS_SQL}
