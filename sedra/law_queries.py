@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .operators import cite, dense, evaluate, filters, prompt, query, rerank, tag
 from .plans import lexicon as L
-from .queries import docs_of, register, table
+from . import samples as S
+from .queries import docs_of, register, rewrite_slang, table
 
 VEHICLE_WORDS = ["xe ô tô", "Xe Máy", "xe đạp điện", "người đi bộ", "máy kéo", "xe khách", "xe thô sơ", "xe ô tô tải", "đoàn người", "xe máy chuyên dùng"]
 ACTS = [
@@ -328,13 +329,16 @@ _MARKED = lambda t: f"chr(2) || regexp_replace({t}, '({_W}+)', chr(1) || '\\1' |
 _BARE = lambda t: f"replace(replace({t}, chr(1), ''), chr(2), '')"
 _KEYS = sorted(L.SYNONYMS, key=len, reverse=True)
 _PATTERN = "(?i)\\x02(?:" + "|".join(k.replace(" ", "\\x01 \\x02") for k in _KEYS) + ")\\x01"
-_REWRITE_SQL = f"""WITH q AS (SELECT doc_id, {_QUESTION_SQL} AS t FROM documents),
+_FORMAL_CTE = f"""
 k AS (SELECT doc_id, {_BARE(f"regexp_replace({_MARKED('t')}, '(?i)' || chr(2) || 'k' || chr(1), 'không', 'g')")} AS t FROM q),
 m AS (SELECT doc_id, {_MARKED('trim(t)')} AS t FROM k),
 z AS (SELECT doc_id, string_split_regex(t, '{_PATTERN}') AS gaps, list_transform(regexp_extract_all(t, '{_PATTERN}'), lambda x: {_case({k.lower(): v for k, v in L.SYNONYMS.items()}, "lower(" + _BARE('x') + ")")}) AS puts FROM m),
 j AS (SELECT doc_id, {_BARE("array_to_string(list_transform(list_zip(gaps, puts), lambda p: p[1] || coalesce(p[2], '')), '')")} AS t FROM z),
-p AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(t, '(?:sử dụng điện thoại di động\\s*)+', 'sử dụng điện thoại di động ', 'g')), '(?:điện thoại di động\\s*)+', 'điện thoại di động ', 'g')) AS t FROM j)
-SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS formal FROM p"""
+p AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(t, '(?:sử dụng điện thoại di động\\s*)+', 'sử dụng điện thoại di động ', 'g')), '(?:điện thoại di động\\s*)+', 'điện thoại di động ', 'g')) AS t FROM j),
+formal AS (SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS formal FROM p)"""
+_REWRITE_SQL = f"WITH q AS (SELECT doc_id, {_QUESTION_SQL} AS t FROM documents), {_FORMAL_CTE} SELECT doc_id, formal FROM formal"
+_SLANG_SQL = f"WITH q AS (SELECT doc_id, coalesce(t, '') AS t FROM {S.values(S.QUESTIONS, 'doc_id', 't')}), {_FORMAL_CTE} SELECT doc_id AS query_id, formal AS rewritten FROM formal"
+register("rewrite_slang", _SLANG_SQL)(rewrite_slang)
 
 
 @register("rewrite_questions", _REWRITE_SQL)
@@ -377,3 +381,25 @@ def rerank_pass_through(spark, sf_dir):
     """Without a model the order that came in stays."""
     c = docs_of(spark, sf_dir).select(F.expr("doc_id div 10").alias("query"), F.col("doc_id").alias("doc"), F.expr("cast(10 - doc_id % 10 as int)").alias("rank"))
     return rerank.rerank(c, None, 3).select("query", "doc", "cross_encoder_score", "pre_rerank_rank", "rank")
+
+
+# --- whole answers ---------------------------------------------------------------------------------------
+
+
+@register(
+    "rag_answers",
+    """SELECT item_id AS query_id, item_id % 4 > 0 AS refused, item_id % 4 = 0 AS reply_valid, array_to_string(CASE item_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['unsupported citation'] WHEN 2 THEN ['no citation'] ELSE ['forbidden phrase'] END, ',') AS failures,
+    CASE item_id % 4 WHEN 0 THEN 'Phạt (Điều 1).' ELSE 'refusal' END AS answer, 'nghĩ' AS thought FROM benchmark""",
+)
+def rag_answers(spark, sf_dir):
+    """All benchmark items asked and answered; a stand-in model cites rightly, cites what is not there, does not cite, or says what is forbidden."""
+    from .plans import pipeline
+    from .queries import rag_chunks
+
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("q"), F.col("item_id").cast("string"), F.lit(" asks about: "), "text").alias("text"))
+    said = F.array(*[F.lit(x) for x in ("Phạt (Điều 1).", "Phạt (Khoản 9 Điều 999).", "Phạt nặng.", "Theo tôi thì phạt (Điều 1).")])
+    number = lambda m: F.regexp_extract(m[1]["content"], r"Câu hỏi: q(\d+) ", 1).cast("int")
+    model = lambda m: F.concat(F.lit("<thought>nghĩ</thought>\nTrả lời: "), F.element_at(said, number(m) % 4 + 1))
+    out = pipeline.answer(asked, rag_chunks(spark, sf_dir), generator=model)
+    refusal = pipeline.Settings().refusal
+    return out.select("query_id", "refused", "reply_valid", F.array_join("failures", ",").alias("failures"), F.when(F.col("answer") == refusal, "refusal").otherwise(F.col("answer")).alias("answer"), "thought")

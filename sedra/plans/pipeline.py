@@ -47,12 +47,12 @@ def overlap_predictor() -> Column:
 
 
 def answer(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), predictor: Callable[[], Column] = overlap_predictor, generator: Generator | None = None, vectors: DataFrame | None = None, embedder: Embedder | None = None, reformulator: Generator | None = None) -> DataFrame:
-    """(query_id, answer, thought, refused, is_valid, failures, sources, route, rewritten, intents) for each question.
+    """(query_id, answer, thought, refused, reply_valid, is_valid, failures, sources, route, rewritten, intents) for each question.
 
     questions (query_id, text[, history array<struct<role, content>>]); chunks as chunk_documents and attach
     give them. generator: the messages of a question to the model's text; reformulator: the history's lines
-    and the question, as one text, to a stand-alone question. An answer that fails validation gives way to
-    the refusal.
+    and the question, as one text, to a stand-alone question. A reply that fails validation (reply_valid) gives way to
+    the refusal, which is valid: so is_valid, of what is answered, holds for every row.
     """
     q = questions.select("query_id", "text", F.col("history") if "history" in questions.columns else F.array().cast("array<struct<role:string,content:string>>").alias("history"))
     if reformulator is not None:
@@ -94,7 +94,7 @@ def answer(questions: DataFrame, chunks: DataFrame, settings: Settings = Setting
     out = out.join(checked, "query_id")
     return out.select(
         "query_id", F.when(F.col("valid"), F.col("reply.answer")).otherwise(settings.refusal).alias("answer"), F.col("reply.thought").alias("thought"),
-        (F.col("refused") | ~F.col("valid")).alias("refused"), F.lit(True).alias("is_valid"), "failures", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "route", "rewritten", "intents",
+        (F.col("refused") | ~F.col("valid")).alias("refused"), F.col("valid").alias("reply_valid"), F.lit(True).alias("is_valid"), "failures", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "route", "rewritten", "intents",
     )
 
 

@@ -461,7 +461,24 @@ def hard_negatives(spark, sf_dir):
     return mine.hard_negatives(_pairs(spark, sf_dir), hits, chunks, fill=False)
 
 
-@register("hard_negatives_filled")
+_HEX = lambda x: f"CAST('0x' || substr(md5({x}), 1, 12) AS BIGINT)"
+_FILLED_SQL = f"""WITH {bm25_sql(k=3)}, {_GOLD},
+pairs AS (SELECT query AS pair, min(doc) AS positive, count(*) AS n_extra FROM gold GROUP BY query),
+manual AS (SELECT pair, positive, m AS neg, 0 AS tier, o AS ord, 'manual' AS source FROM pairs, (VALUES (3, 0), (5, 1)) t(m, o) WHERE m <> positive AND pair % 2 = 0),
+barred AS (SELECT query AS pair, doc AS neg FROM gold),
+mined AS (SELECT p.pair, p.positive, h.doc AS neg, 1 AS tier, h.rank AS ord, 'bm25' AS source FROM hits h JOIN pairs p ON p.pair = h.query JOIN parsed a ON a.doc = p.positive JOIN parsed p2 ON p2.doc = h.doc
+  WHERE NOT EXISTS (SELECT 1 FROM barred g WHERE g.pair = p.pair AND g.neg = h.doc) AND {_JACCARD.replace('p.terms', 'p2.terms')} < 0.85),
+size AS (SELECT count(*) AS total FROM parsed), most AS (SELECT max(n_extra + coalesce(m, 0)) AS most FROM pairs LEFT JOIN (SELECT pair, count(*) AS m FROM manual GROUP BY pair) USING (pair)),
+n AS (SELECT total, greatest(1, least(total, 17 + most)) AS n FROM size, most),
+places AS (SELECT doc AS neg, row_number() OVER (ORDER BY md5('42|' || doc), doc) - 1 AS spot FROM parsed),
+draws AS (SELECT pair, positive, (j * total) // n + {_HEX("'42|' || pair || '|' || j")} % (((j + 1) * total) // n - (j * total) // n) AS spot FROM pairs, n, unnest(range(n)) t(j)),
+others AS (SELECT pair, positive, neg, 2 AS tier, {_HEX("'42|' || pair || '|' || neg")} AS ord, 'random' AS source FROM draws JOIN places USING (spot) WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.pair = draws.pair AND b.neg = places.neg)),
+every AS (SELECT * FROM manual WHERE neg IN (SELECT doc FROM parsed) UNION ALL SELECT * FROM mined UNION ALL SELECT * FROM others),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair, neg ORDER BY tier, ord) AS k FROM every) WHERE k = 1)
+SELECT * FROM (SELECT pair, positive, neg, source, CAST(row_number() OVER (PARTITION BY pair ORDER BY tier, ord, neg) AS INTEGER) AS place FROM once) WHERE place <= 8"""
+
+
+@register("hard_negatives_filled", _FILLED_SQL)
 def hard_negatives_filled(spark, sf_dir):
     chunks = docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("terms"))
     hits = _hits(spark, sf_dir, k=3).select(F.col("query").alias("pair"), "doc", "rank")
@@ -560,7 +577,20 @@ def chunk_split_oversize(spark, sf_dir):
     return chunk.chunk_documents(docs, chunk.Options(max_chunk_chars=80))
 
 
-@register("document_chunks")
+_TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_CHUNKS_SQL = rf"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, source, i, {_TRIM("regexp_replace(i || '. ' || raw, '[ 	]+', ' ', 'g')")} AS line, {_TRIM("regexp_replace(raw, '[ 	]+', ' ', 'g')")} AS x FROM l),
+stop AS (SELECT doc_id, coalesce(min(CASE WHEN x = '' OR i > 999 THEN i END), 1000000000) AS b FROM n GROUP BY doc_id),
+c AS (SELECT n.*, b, CASE WHEN b = 1 THEN 0 ELSE least(i, b - 1) END AS k FROM n JOIN stop USING (doc_id)),
+g AS (SELECT doc_id, source, k, string_agg(CASE WHEN i < b THEN x ELSE line END, chr(10) ORDER BY i) AS text FROM c GROUP BY ALL),
+o AS (SELECT *, length(text) > 1800 AND contains(text, chr(10)) AS long FROM g)
+SELECT 'D' || doc_id || '__Dieu_1' || CASE WHEN k > 0 THEN '__Khoan_' || k ELSE '' END || CASE WHEN long THEN '__lead' ELSE '' END AS chunk_id, source AS source_doc, 'D' || doc_id AS doc_short, CAST(NULL AS VARCHAR) AS chuong, CAST(NULL AS VARCHAR) AS chuong_title,
+  CAST(NULL AS VARCHAR) AS muc, CAST(NULL AS VARCHAR) AS muc_title, '1' AS dieu, 'Whole text' AS dieu_title, CASE WHEN k > 0 THEN CAST(k AS VARCHAR) END AS khoan, CAST(NULL AS VARCHAR) AS diem, text,
+  CASE WHEN k > 0 THEN 'Khoản ' || k || ' ' ELSE '' END || 'Điều 1 ' || source AS full_citation, CASE WHEN k > 0 OR long THEN 'khoan' ELSE 'dieu' END AS chunk_type, CAST(length(text) AS INTEGER) AS char_count,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS seq FROM o"""
+
+
+@register("document_chunks", _CHUNKS_SQL)
 def document_chunks(spark, sf_dir):
     """The chunker over every document's text, its lines numbered as clauses of one article."""
     docs = docs_of(spark, sf_dir)
@@ -581,8 +611,7 @@ def table_markdown(spark, sf_dir):
     return t.select("id", tables.to_markdown(tables.clean_rows(F.col("rows"))).alias("markdown"))
 
 
-@register("rewrite_slang")
-def rewrite_slang(spark, sf_dir):
+def rewrite_slang(spark, sf_dir):  # registered with its SQL in law_queries
     return S.frame(spark, S.QUESTIONS, "query_id int, text string").select("query_id", query.rewrite(F.col("text")).alias("rewritten"))
 
 
@@ -615,17 +644,20 @@ def answer_judgement(spark, sf_dir):
                      evaluate.calculation_accuracy(a, F.flatten(F.transform(e, evaluate.expected_fines))).alias("accuracy"))
 
 
-@register("rag_batch")
-def rag_batch(spark, sf_dir):
-    """All benchmark items asked over all documents, with the stand-in predictor and no generator."""
-    docs = docs_of(spark, sf_dir)
+def rag_chunks(spark, sf_dir):
+    """Every document as an article."""
     null = lambda kind: F.lit(None).cast(kind)
     labels = F.struct(F.array().cast("array<string>").alias("vehicle_type"), F.array().cast("array<string>").alias("violation_type"))
-    chunks = docs.select(
+    return docs_of(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_short"), F.lit("1").alias("dieu"), null("string").alias("khoan"), null("string").alias("diem"),
         null("string").alias("dieu_title"), "text", F.lit("dieu").alias("chunk_type"), labels.alias("metadata"),
     )
-    return pipeline.answer(questions_of(spark, sf_dir), chunks)
+
+
+@register("rag_batch")
+def rag_batch(spark, sf_dir):
+    """All benchmark items asked over all documents, with the stand-in predictor and no generator."""
+    return pipeline.answer(questions_of(spark, sf_dir), rag_chunks(spark, sf_dir))
 
 
 from . import law_queries, store_queries  # noqa: E402, F401  (they register their queries)
