@@ -403,3 +403,53 @@ def rag_answers(spark, sf_dir):
     out = pipeline.answer(asked, rag_chunks(spark, sf_dir), generator=model)
     refusal = pipeline.Settings().refusal
     return out.select("query_id", "refused", "reply_valid", F.array_join("failures", ",").alias("failures"), F.when(F.col("answer") == refusal, "refusal").otherwise(F.col("answer")).alias("answer"), "thought")
+
+
+# --- questions taken apart, routed; answers validated ----------------------------------------------------
+
+ASKERS = ["Xe máy", "Ô tô", "Xe đạp", "Ô tô và xe máy", "Tôi"]
+OFFENCES = ["vượt đèn đỏ", "không đội mũ bảo hiểm", "uống rượu", "quá tốc độ", "đánh võng"]
+_PARTS_SQL = f"""WITH q AS (SELECT doc_id, {_pick_sql(ASKERS)} AS v, {_pick_sql(OFFENCES, 'doc_id // 5')} AS a, {_pick_sql(OFFENCES, 'doc_id // 25')} AS b FROM documents),
+m AS (SELECT *, v IN ('Xe máy', 'Ô tô và xe máy') OR contains(a || b, 'mũ bảo hiểm') AS moto, v IN ('Ô tô', 'Ô tô và xe máy') AS auto, v = 'Xe đạp' AS other FROM q),
+p AS (SELECT *, unnest([a, b || '?']) AS part, unnest([0, 1]) AS i FROM m),
+e AS (SELECT doc_id, i, CASE WHEN other AND NOT contains(part, 'mũ bảo hiểm') THEN ['xe đạp ' || part] WHEN other THEN [part] WHEN contains(part, 'mũ bảo hiểm') THEN [part] WHEN moto AND auto THEN ['xe ô tô ' || part, 'xe mô tô ' || part]
+  WHEN moto THEN ['xe mô tô ' || part] WHEN auto THEN ['xe ô tô ' || part] ELSE [part] END AS qs FROM p)
+SELECT doc_id, array_to_string(flatten(list(qs ORDER BY i)), '|') AS questions FROM e GROUP BY doc_id"""
+
+
+@register("deconstruct_questions", _PARTS_SQL)
+def deconstruct_questions(spark, sf_dir):
+    """The atomic questions in compound ones, each about the vehicles that the whole names."""
+    text = F.concat(_pick(ASKERS), F.lit(" "), _pick(OFFENCES, "doc_id div 5"), F.lit(" và "), _pick(OFFENCES, "doc_id div 25"), F.lit("?"))
+    return docs_of(spark, sf_dir).select("doc_id", F.array_join(query.deconstruct(text), "|").alias("questions"))
+
+
+CALLS = ["Phạt thế nào", "Gây TAI NẠN rồi bỏ chạy", "Xe cứu thương đi ngược", "Có đúng không", "Đi chậm"]
+
+
+@register("route_questions", f"WITH q AS (SELECT doc_id, {_pick_sql(CALLS)} || repeat(' từ', CAST(doc_id % 37 AS INTEGER)) AS t FROM documents) SELECT doc_id, CASE WHEN len(string_split(t, ' ')) > 30 OR regexp_matches(lower(t), '{'|'.join(L.ROUTE_ALWAYS + L.ROUTE_COMPLEX)}') THEN 'cloud' ELSE 'local' END AS route FROM q")
+def route_questions(spark, sf_dir):
+    """Long or grave questions go to the large model."""
+    text = F.concat(_pick(CALLS), F.repeat(F.lit(" từ"), F.expr("cast(doc_id % 37 as int)")))
+    return docs_of(spark, sf_dir).select("doc_id", query.route(text).alias("route"))
+
+
+STATED = ["Tôi không tìm thấy quy định phù hợp nào.", "Xe ô tô bị phạt (Khoản 5 Điều 5).", "Phạt (Khoản 5 Điều 5) và (Điều 99).", "Bạn đi đúng luật.", "Phạt nặng.", "Theo tôi, phạt (Điều 6)."]
+_VALID_SQL = f"""WITH a AS (SELECT doc_id AS answer_id, doc_id % 6 AS k, doc_id // 6 % 2 AS ev, doc_id // 12 % 2 AS moto FROM documents),
+c AS (SELECT *, CASE k WHEN 1 THEN ['5/5'] WHEN 2 THEN ['5/5', '99'] WHEN 5 THEN ['6'] ELSE [] END AS cites FROM a),
+s AS (SELECT *, len(list_filter(cites, lambda x: (x = '5/5' AND ev = 0) OR (x = '6' AND ev = 1))) AS ok FROM c),
+-- evidence 0 is about cars, 1 about motorcycles; an answer or a question that names only the other clashes with what stands behind it
+v AS (SELECT *, ok > 0 AND (k = 1 OR moto = 1) AND NOT (k = 1 AND ev = 0) AND NOT (moto = 1 AND ev = 1) AND NOT (k = 1 AND moto = 1) AS clash FROM s),
+f AS (SELECT *, CASE WHEN k = 0 THEN [] ELSE list_filter([CASE WHEN k = 5 THEN 'forbidden phrase' END, CASE WHEN k = 4 THEN 'no citation' END, CASE WHEN clash THEN 'vehicle mismatch' END, CASE WHEN len(cites) > ok THEN 'unsupported citation' END], lambda x: x IS NOT NULL) END AS failures FROM v)
+SELECT answer_id, len(failures) = 0 AS is_valid, CAST(len(cites) AS BIGINT) AS n_citations, CAST(ok AS BIGINT) AS n_supported, array_to_string(failures, ',') AS failures FROM f"""
+
+
+@register("validate_answers", _VALID_SQL)
+def validate_answers(spark, sf_dir):
+    """Refusals, supported, fabricated, missing and forbidden citations, and vehicles that do not fit, in as many answers as there are documents."""
+    docs = docs_of(spark, sf_dir)
+    asked = F.when(F.expr("doc_id div 12 % 2 = 1"), F.lit("Đi xe máy?")).otherwise("Thế nào?")
+    answers = docs.select(F.col("doc_id").alias("answer_id"), _pick(STATED).alias("answer"), asked.alias("query"))
+    row = lambda dieu, khoan, kind: F.struct(F.lit("ND100").alias("doc_short"), F.lit(dieu).alias("dieu"), F.lit(khoan).alias("khoan"), F.lit(None).cast("string").alias("diem"), F.struct(F.array(F.lit(kind)).alias("vehicle_type")).alias("metadata"))
+    evidence = docs.select(F.col("doc_id").alias("answer_id"), F.when(F.expr("doc_id div 6 % 2 = 0"), row("5", "5", "o_to")).otherwise(row("6", "1", "xe_may")).alias("e")).select("answer_id", "e.*")
+    return cite.validate(answers, evidence).select("answer_id", "is_valid", "n_citations", "n_supported", F.array_join("failures", ",").alias("failures"))
