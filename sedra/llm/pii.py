@@ -24,6 +24,7 @@ and have no entities; empty and very long texts, empty tables, repeated rows and
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -55,11 +56,21 @@ García Rodríguez Martínez Hernández López González Pérez Sánchez Ramíre
 Akhtar Yılmaz Kaya Kowalski Nowak Rossi Russo Ferrari Silva Santos Oliveira Pereira Costa""".split()
 #: Lists of names that are not mixed, and share no name: given names by gender and origin, then family names.
 GIVEN_LISTS = {"male": MALE, "female": FEMALE, "male 2": MORE_MALE, "female 2": MORE_FEMALE}
+
+
+def _one_of(names) -> str:
+    """A pattern of names, parted by their first letter, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for n in names:
+        by.setdefault(n[0], []).append(n[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
 _WORD = r"\p{Lu}[\p{L}'’\-]+"
 _STARTS = "The|A|An|This|That|My|Our|Your|In|On|At|And|But|Or|If|When|Der|Die|Das|Ein|Eine|Und|Le|La|Les|Un|Une|Et|El|Los|Las|Una|De|Von|Van|New|Saint|St|Old|North|South|East|West"
-_GIVEN = r"(?<![\p{L}0-9])(?=\p{Lu})(?:" + "|".join(n for names in GIVEN_LISTS.values() for n in names) + ") (?=\\p{Lu})"
-_CUED = r"(?<=(?:[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Ss]igned by|[Cc]ontact person:?|[Ff]ull name:|[Nn]ame:) )(?=\p{Lu})"
-_KNOWN_FAMILY = rf"(?<![\p{{L}}0-9])(?=\p{{Lu}})(?!(?:{_STARTS}) ){_WORD} (?:" + "|".join(SURNAMES) + r")(?![\p{L}'’\-])"
+_GIVEN = r"(?<![\p{L}0-9])(?=\p{Lu})" + _one_of(n for names in GIVEN_LISTS.values() for n in names) + r" (?=\p{Lu})"
+_CUED = r"(?=\p{Lu})(?<=[:enostry] )(?<=(?:[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Ss]igned by|[Cc]ontact person:?|[Ff]ull name:|[Nn]ame:) )"
+_KNOWN_FAMILY = rf"(?<![\p{{L}}0-9])(?=\p{{Lu}})(?!(?:{_STARTS}) ){_WORD} (?=\p{{Lu}})" + _one_of(SURNAMES) + r"(?![\p{L}'’\-])"
 #: Kinds in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@(?:[\p{L}\p{M}0-9\-]++\.){1,12}\p{L}{2,}",
@@ -74,9 +85,10 @@ PATTERNS = {
     "hex": r"(?<![\p{L}0-9])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}0-9])",
     "name": rf"(?:(?<![\p{{L}}0-9])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]*(?: {_WORD}){{0,2}}|{_GIVEN}{_WORD}(?: {_WORD})?|{_CUED}{_WORD}(?: {_WORD}){{0,2}}|{_KNOWN_FAMILY})",
 }
-PATTERN = "|".join(PATTERNS.values())
+#: None begins inside a word but an IP address; asked first, this spares most places of a text.
+PATTERN = r"(?<![\p{L}0-9])(?:" + "|".join(PATTERNS.values()) + r")|(?<=\p{L})" + PATTERNS["ip"]
 #: What any entity has: a digit, a sign that joins its parts, a key's beginning or a title. Read first, as it is cheap.
-NEEDED = rf"[0-9@:=]|AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? \p{{Lu}}|{_GIVEN}|{_CUED}|{_KNOWN_FAMILY}"
+NEEDED = rf"[0-9@:=]|(?<![\p{{L}}0-9])(?:AKIA|ASIA|gh[pousr]_|sk-|(?:{_TITLES})\.? \p{{Lu}}|{_GIVEN}|{_CUED}|{_KNOWN_FAMILY})"
 
 DIGITS = "0123456789"
 _VIETNAMESE = "".join(map(chr, range(0x1EA1, 0x1EFA, 2)))
@@ -100,19 +112,27 @@ def _classes(letters: list[str]) -> list[str]:
 GENERIC, NAMES, HEX = _classes(LETTERS), _classes(NAME_LETTERS), [DIGITS, "abcdef", "ABCDEF"]
 
 
+def _constant(values: list[str]) -> Column:
+    """An array of strings as one expression that is folded."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def _shift(key: str, kind: str, before: Column) -> Column:
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), before), 256), 1, 12), 16, 10).cast("long")
+def _text(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def _shift(key: str, kind: Column | str, before: Column) -> Column:
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|"), _text(kind), F.lit("|"), before), 256), 1, 12), 16, 10).cast("long")
 
 
-def _one_way(chars: Column, kind: str, key: str, classes: list[str], wide: bool) -> Column:
-    """The characters moved within their classes, as an array. wide: scripts without case move too, within their ranges."""
-    sets = F.array(*[F.lit(c) for c in classes])
-    ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b - a + 1).alias("n")) for a, b in RANGES])
+def _one_way(chars: Column, kind: Column, key: str, sets: Column) -> Column:
+    """The characters moved within their classes, as an array. With more classes than hexadecimals have, scripts without case move too, within their ranges."""
+    ranges = F.from_json(F.lit(json.dumps([{"a": a, "n": b - a + 1} for a, b in RANGES])), "array<struct<a:int,n:int>>")
 
     def moved_in(s, c, before):
         return F.substring(s, (F.pmod(F.instr(s, c) - 1 + _shift(key, kind, before), F.length(s)) + 1).cast("int"), F.lit(1))
@@ -122,24 +142,21 @@ def _one_way(chars: Column, kind: str, key: str, classes: list[str], wide: bool)
         return F.decode(F.unhex(F.lpad(F.hex(to), 4, "0")), "UTF-16BE")
 
     def step(state, c):
-        own = F.filter(sets, lambda s: F.instr(s, c) > 0)
-        moved, known = _let(F.get(own, F.lit(0)), lambda s: moved_in(s, c, state["before"])), F.size(own) > 0
-        if wide:
-            of = F.filter(ranges, lambda r: (F.ascii(c) >= r["a"]) & (F.ascii(c) < r["a"] + r["n"]))
-            other = _let(F.get(of, F.lit(0)), lambda x: moved_on(x, c, state["before"]))
-            moved = F.when(known, moved).when(F.ascii(c) > 0x5CF, other)
-            known = known | moved.isNotNull()
-        return F.struct(F.concat(state["out"], F.array(F.coalesce(moved, c))).alias("out"), F.when(known, F.concat(state["before"], F.lower(c))).otherwise(state["before"]).alias("before"))
+        inside = _let(F.get(F.filter(sets, lambda s: F.instr(s, c) > 0), F.lit(0)), lambda s: moved_in(s, c, state["before"]))
+        of = F.filter(ranges, lambda r: (F.ascii(c) >= r["a"]) & (F.ascii(c) < r["a"] + r["n"]))
+        beyond = F.when((F.ascii(c) > 0x5CF) & (F.size(sets) > len(HEX)), _let(F.get(of, F.lit(0)), lambda x: moved_on(x, c, state["before"])))
+        out = lambda m: F.struct(F.concat(state["out"], F.array(F.coalesce(m, c))).alias("out"), F.when(m.isNotNull(), F.concat(state["before"], F.lower(c))).otherwise(state["before"]).alias("before"))
+        return _let(F.coalesce(inside, beyond), out)
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("before"))
     return F.aggregate(chars, start, step)["out"]
 
 
-def cipher(value: Column, kind: str, key: str = KEY, classes: list[str] = GENERIC) -> Column:
+def cipher(value: Column, kind: Column | str, key: str = KEY, classes: list[str] | Column = GENERIC) -> Column:
     """A keyed permutation of the strings of value's format; what is in no class stays and has no influence."""
-    wide = len(classes) > len(HEX)
-    forth = _one_way(F.split(value, ""), kind, key, classes, wide)
-    return F.array_join(F.reverse(_one_way(F.reverse(forth), kind + "-back", key, classes, wide)), "")
+    kind, sets = _text(kind), classes if isinstance(classes, Column) else _constant(classes)
+    forth = _one_way(F.filter(F.split(value, ""), lambda c: c != ""), kind, key, sets)
+    return F.array_join(F.reverse(_one_way(F.reverse(forth), F.concat(kind, F.lit("-back")), key, sets)), "")
 
 
 def luhn(body: Column) -> Column:
@@ -149,11 +166,18 @@ def luhn(body: Column) -> Column:
     return (10 - F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10) % 10
 
 
-def _card(m: Column, key: str) -> Column:
-    plain = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    head, last = F.substring(m, F.lit(1), F.length(m) - 1), F.substring(m, -1, 1).cast("int")
-    offset = F.pmod(last - luhn(plain(head)), F.lit(10))
-    return _let(cipher(head, "card", key, [DIGITS]), lambda h: F.concat(h, ((luhn(plain(h)) + offset) % 10).cast("string")))
+def _plain(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def _but_last(m: Column) -> Column:
+    return F.substring(m, F.lit(1), F.length(m) - 1)
+
+
+def _with_luhn(m: Column, head: Column) -> Column:
+    """head, the image of all but m's last digit, with a last one that is right, or as far off as m's."""
+    offset = F.pmod(F.substring(m, -1, 1).cast("int") - luhn(_plain(_but_last(m))), F.lit(10))
+    return F.concat(head, ((luhn(_plain(head)) + offset) % 10).cast("string"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -169,26 +193,30 @@ def _ip(m: Column, key: str) -> Column:
     return F.array_join(F.reverse(F.aggregate(F.reverse(forth), start, step("ip-back"))["out"]), ".")
 
 
-def _email(m: Column, key: str) -> Column:
-    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    rest = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    return F.concat(cipher(local, "email", key), F.lit("@"), cipher(rest, "domain", key), F.lit("."), top)
-
-
-def _secret(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, "^(" + _SECRET_NAME + ")", 1)
-    value = F.substring(m, F.length(name) + 1, F.length(m))
-    return F.concat(name, F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), cipher(value, "hex", key, HEX)).otherwise(cipher(value, "secret", key)))
-
-
 #: Country calling codes: the only ones of one digit, those of two, and any three digits else.
 _CODE = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))"
+_CLASS_SETS = {"generic": GENERIC, "digits": [DIGITS], "hex": HEX}
 
 
-def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, _CODE, 1)
-    return F.concat(code, cipher(F.substring(m, F.length(code) + 1, F.length(m)), "phone", key, [DIGITS]))
+def _parts(m: Column, kind: Column) -> Column:
+    """An entity as an array of (keep, body, kind, set): text that stays, and then text to permute, as what, in which classes."""
+    part = lambda keep, body, what, name: F.struct(keep.alias("keep"), body.alias("body"), what.alias("kind"), F.lit(name).alias("set"))
+    after = lambda head: F.substring(m, F.length(head) + 1, F.length(m))
+    none, domain = F.lit(""), F.substring_index(m, "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    named, code = F.regexp_extract(m, "^(" + _SECRET_NAME + ")", 1), F.regexp_extract(m, _CODE, 1)
+    fixed = F.regexp_extract(m, "^(AKIA|ASIA|gh._|sk-)", 1)
+    return (
+        F.when(kind == "email", F.array(part(none, F.substring_index(m, "@", 1), kind, "generic"), part(F.lit("@"), F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), F.lit("domain"), "generic"), part(F.concat(F.lit("."), top), none, kind, "generic")))
+        .when((kind == "secret") & after(named).rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.array(part(named, after(named), F.lit("hex"), "hex")))
+        .when(kind == "secret", F.array(part(named, after(named), kind, "generic")))
+        .when(kind == "card", F.array(part(none, _but_last(m), kind, "digits")))
+        .when(kind == "phone", F.array(part(code, after(code), kind, "digits")))
+        .when(kind == "ssn", F.array(part(none, m, kind, "digits")))
+        .when(kind == "key", F.array(part(fixed, after(fixed), kind, "generic")))
+        .when(kind == "iban", F.array(part(none, F.substring(m, F.lit(5), F.length(m)), kind, "generic")))
+        .otherwise(F.array(part(none, m, kind, "hex")))  # hex, ipv6
+    )
 
 
 def mod97(chars: Column) -> Column:
@@ -202,20 +230,16 @@ def iban_digits(country: Column, body: Column) -> Column:
     return 98 - mod97(F.split(F.concat(F.regexp_replace(body, " ", ""), country, F.lit("00")), ""))
 
 
-def _iban(m: Column, key: str) -> Column:
-    """Check digits stay right where they are, and off by as much where they are not; 00, 01 and 99, never right, stay."""
-    country, digits, body = F.substring(m, 1, 2), F.substring(m, 3, 2).cast("int"), F.substring(m, F.lit(5), F.length(m))
-
-    def with_digits(new):
-        moved = F.pmod(iban_digits(country, new) + digits - iban_digits(country, body) - 2, F.lit(97)) + 2
-        return F.concat(country, F.lpad(F.when(digits.isin(0, 1, 99), digits).otherwise(moved).cast("string"), 2, "0"), new)
-
-    return _let(cipher(body, "iban", key), with_digits)
+def _with_check_digits(m: Column, body: Column) -> Column:
+    """body, the image of what follows the check digits, behind digits that are right, or as far off as m's; 00, 01 and 99, never right, stay."""
+    country, digits = F.substring(m, 1, 2), F.substring(m, 3, 2).cast("int")
+    moved = F.pmod(iban_digits(country, body) + digits - iban_digits(country, F.substring(m, F.lit(5), F.length(m))) - 2, F.lit(97)) + 2
+    return F.concat(country, F.lpad(F.when(digits.isin(0, 1, 99), digits).otherwise(moved).cast("string"), 2, "0"), body)
 
 
 def _moved(w: Column, names: list[str], kind: str, key: str) -> Column:
     """Another name of the list, by a keyed rotation: never the same one. Null if w is on no place of it; capitals as w has them."""
-    listed = F.array(*[F.lit(n) for n in names])
+    listed = _constant(names)
     place = F.coalesce(F.nullif(F.array_position(listed, w), F.lit(0)), F.nullif(F.array_position(listed, F.initcap(w)), F.lit(0)))
     by = F.pmod(_shift(key, kind, F.lit("by")), F.lit(len(names) - 1)) + 1
     other = F.element_at(listed, (F.pmod(place - 1 + by, F.lit(len(names))) + 1).cast("int"))
@@ -225,14 +249,14 @@ def _moved(w: Column, names: list[str], kind: str, key: str) -> Column:
 def _name(m: Column, key: str) -> Column:
     title = F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1)
     words = F.split(F.substring(m, F.length(title) + 1, F.length(m)), " ")
-    known = F.array(*[F.lit(n) for names in (*GIVEN_LISTS.values(), SURNAMES) for n in names])
+    known = _constant([n for names in (*GIVEN_LISTS.values(), SURNAMES) for n in names])
     on_list = lambda w: F.array_contains(known, w) | F.array_contains(known, F.initcap(w))
 
     def unlisted(w):
         end = F.regexp_extract(w, "(?<=..)([aoàáòóаоя])$", 1)
         once = lambda x: F.concat(cipher(F.substring(x, F.lit(1), F.length(x) - F.length(end)), "name", key, NAMES), end)
         # Permuted again while the image is a listed name: a permutation of the names on no list.
-        return F.aggregate(F.sequence(F.lit(1), F.lit(4)), once(w), lambda x, _: F.when(on_list(x), once(x)).otherwise(x))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(4)), w, lambda x, i: F.when((i == 0) | on_list(x), once(x)).otherwise(x))
 
     def one(w, i):
         given = F.when(i == 0, F.coalesce(*[_moved(w, names, kind, key) for kind, names in GIVEN_LISTS.items()]))
@@ -263,17 +287,10 @@ def kind_of(m: Column) -> Column:
 
 
 def surrogate(m: Column, kind: Column, key: str = KEY) -> Column:
-    make = {
-        "email": _email, "secret": _secret, "ip": _ip, "card": _card, "phone": _phone, "name": _name,
-        "hex": lambda x, k: cipher(x, "hex", k, HEX), "ssn": lambda x, k: cipher(x, "ssn", k, [DIGITS]),
-        "ipv6": lambda x, k: cipher(x, "ipv6", k, HEX),
-        "key": lambda x, k: F.concat(F.regexp_extract(x, "^(AKIA|ASIA|gh._|sk-)", 1), cipher(F.regexp_replace(x, "^(?:AKIA|ASIA|gh._|sk-)", ""), "key", k)),
-        "iban": _iban,
-    }
-    out = None
-    for name, f in make.items():
-        out = F.when(kind == name, f(m, key)) if out is None else out.when(kind == name, f(m, key))
-    return out.otherwise(m)
+    sets = F.create_map(*[x for name, classes in _CLASS_SETS.items() for x in (F.lit(name), _constant(classes))])
+    moved = F.array_join(F.transform(_parts(m, kind), lambda p: F.concat(p["keep"], cipher(p["body"], p["kind"], key, F.element_at(sets, p["set"])))), "")
+    finish = lambda x: F.when(kind == "card", _with_luhn(m, x)).when(kind == "iban", _with_check_digits(m, x)).otherwise(x)
+    return F.when(kind == "number", m).when(kind == "ip", _ip(m, key)).when(kind == "name", _name(m, key)).otherwise(_let(moved, finish))
 
 
 def entities(text: Column, key: str = KEY) -> Column:
