@@ -182,7 +182,7 @@ class Symbols(dict):
         return k
 
 
-N_FEATURES = 6
+N_FEATURES = 7
 
 
 def match(text: str | None, symbols: Symbols) -> list[float]:
@@ -197,15 +197,16 @@ def match(text: str | None, symbols: Symbols) -> list[float]:
         return [0.0] * N_FEATURES
     ends = np.flatnonzero(codes & _END)
     clause = np.unique(np.searchsorted(ends, triggers))
-    total, most, hit, threats = 0.0, 0.0, 0, 0
+    total, most, hit, threats, named = 0.0, 0.0, 0, 0, 0.0
     for c in clause.tolist():
         a, b = (int(ends[c - 1]) + 1 if c else 0), (int(ends[c]) + 1 if c < len(ends) else len(words))
         ks = kinds[a:b].tolist()
         weights = [symbols.lexicon.weight(words[a + i].strip(EDGES).lower()) if k == INSULT else 0.0 for i, k in enumerate(ks)]
         s, t = score_clause(ks, weights)
-        total, most, hit, threats = total + s, max(most, s), hit + (s > 0), threats + t
+        total, most, hit, threats, named = total + s, max(most, s), hit + (s > 0), threats + t, named + max(weights, default=0.0)
     rate = 100.0 * total / (len(words) + 20)
-    return [float(np.log1p(total)), float(np.log1p(rate)), most, float(np.log1p(hit)), float(np.log1p(100.0 * hit / (len(words) + 20))), float(threats > 0)]
+    # The last one: what the clauses name, matched or not.
+    return [float(np.log1p(total)), float(np.log1p(rate)), most, float(np.log1p(hit)), float(np.log1p(100.0 * hit / (len(words) + 20))), float(threats > 0), float(np.log1p(named))]
 
 
 def grams(text: str) -> set[str]:
