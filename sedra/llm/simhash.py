@@ -182,25 +182,34 @@ def link_fingerprints(distinct: DataFrame, cap: int = 512) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_low(pairs: DataFrame, low: DataFrame, few: bool) -> DataFrame:
+    """pairs (u, v) with the m of their u. The u of a large component has many pairs, so beyond a broadcast they are salted."""
+    if few:
+        return pairs.join(F.broadcast(low), "u")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int"))
+    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))), ["u", "salt"]).drop("salt")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, max_broadcast: int = 200_000) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the component's smallest node.
 
     Alternating large and small stars: each round costs a few shuffles of the edges, and the number of
-    rounds grows with the logarithm of the component's size. Each round is checkpointed.
+    rounds grows with the logarithm of the component's size. Each round is checkpointed. Up to max_broadcast edges, by a count, a node's
+    smallest neighbour is broadcast to them.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    print_ = None
+    few, print_ = edges.count() <= max_broadcast, None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_low(both, low, few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = _with_low(large, low, few)
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == print_:
             break
-        print_ = now
+        few, print_ = now[0] <= max_broadcast, now
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -226,15 +235,13 @@ def labelled(fps: DataFrame, each: DataFrame, stars: DataFrame, id_col: str) ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
-    """docs with one row of each component, its representative; all columns stay. groups: gives the components."""
+    """docs with one row of each component, its representative; all columns stay, whatever their names. groups: gives the components."""
     ids = groups(docs, id_col, text_col)
-    keys = ["__id", "__no_id", "__hash"]  # plain keys, so that the window finds the join's partitioning
-
-    def keyed(df: DataFrame, text_hash) -> DataFrame:
-        return df.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__no_id": F.col(id_col).isNull(), "__hash": text_hash})
-
+    keys = ["id", "no_id", "hash"]  # plain keys, so that the window finds the join's partitioning
+    key = lambda c, text_hash: [F.coalesce(c.cast("string"), F.lit("")).alias("id"), c.isNull().alias("no_id"), text_hash.alias("hash")]
     first = ids.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
-    first = keyed(first, F.col("text_hash")).select(*keys).distinct()
-    kept = keyed(docs, F.xxhash64(text_col)).join(first, keys, "left_semi")
-    alike = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("__row", F.row_number().over(alike)).where("__row = 1").select(*docs.columns)
+    first = first.select(*key(F.col(id_col), F.col("text_hash"))).distinct()
+    names = [f"`{c}`" for c in docs.columns]
+    rows = docs.select(*key(F.col(id_col), F.xxhash64(text_col)), F.xxhash64(*names).alias("order"), F.struct(*names).alias("row"))
+    once = rows.join(first, keys, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where("n = 1")
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
