@@ -192,3 +192,30 @@ def test_ids_and_sessions(spark, tmp_path):
     assert [r.conversation_id for r in s.list("u").collect()] == ["c2"] and s.list("other").count() == 0
     with pytest.raises(FileNotFoundError):
         s.load("u", "c1")
+
+
+def test_containing_equals_brute_force(spark):
+    from sedra.operators import contain
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(rng.randint(0, 40))).replace("ij ij", "ij\n\tij") for _ in range(60)] + [None, ""]
+    passages = [t[3 : 3 + rng.randint(1, 60)] for t in texts if t and len(t) > 10][:40] + [None, "", "ab", "never in it at all, not once", " cd ef gh ij kl "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = sorted((q, d) for q, p in enumerate(passages) if p for d, t in enumerate(texts) if t and p in t)
+    assert want and sorted(map(tuple, contain.containing(docs, items).collect())) == want
+    with pytest.raises(ValueError):
+        contain.containing(docs, items, max_short=0)
+
+
+def test_search_in_parts_equals_one_search(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(corpus)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, "abcdefghij"[i % 10] + " " + "jihgf"[i % 5]) for i in range(12)] + [(99, "zz")], "query_id long, text string")
+    index = bm25.build_index(docs)
+    whole = sorted(map(tuple, bm25.search(index, queries, 7).collect()))
+    monkeypatch.setattr(bm25, "MAX_BROADCAST_TERMS", 5)
+    assert sorted(map(tuple, bm25.search(index, queries, 7).collect())) == whole
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 3)
+    assert sorted(map(tuple, bm25.search(index, queries, 7).collect())) == whole and len({r[0] for r in whole}) == 13
+    two = bm25.search_runs(docs, queries, [(3, bm25.Bm25()), (5, bm25.Bm25("l"))])
+    assert [sorted(map(tuple, x.collect())) for x in two] == [sorted(map(tuple, bm25.search_text(docs, queries, k, m).collect())) for k, m in ((3, bm25.Bm25()), (5, bm25.Bm25("l")))]
