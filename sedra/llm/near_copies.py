@@ -169,7 +169,7 @@ def _upto(n):
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000, cap: int = 128, cap_chars: int = 1 << 21) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 50_000, cap: int = 128, cap_chars: int = 1 << 21) -> DataFrame:
     """(id, text_hash, fp, component_id, n_component, first_hash) for each row of docs, as simhash.near_duplicates gives.
 
     Up to max_broadcast candidates, by a count, go to the executors; more are joined by a shuffle of docs.
@@ -188,7 +188,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = members.count() <= max_broadcast
     bodies = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("hash"))
     same = (bodies["hash"] == members["__hash"]) & bodies["id"].eqNullSafe(members["__id"])
-    bodies = bodies.join(F.broadcast(members) if few else members, same).select("__root", "fp", "body", "parts", "part")
+    bodies = bodies.join(F.broadcast(members.drop("size")) if few else members, same).select("__root", "fp", "body", "parts", "part")
     if not members.where("parts > 1").limit(1).count():
         linked = cut(bodies.groupBy("__root").applyInArrow(_linked, "node long, root long"))
         return labelled(rows.select(id_col, "text_hash", "fp"), each.select("fp", "low", "n"), linked, id_col)

@@ -182,29 +182,32 @@ def link_fingerprints(distinct: DataFrame, cap: int = 512) -> DataFrame:
     return found.distinct()
 
 
-def _with_low(pairs: DataFrame, low: DataFrame, few: bool) -> DataFrame:
-    """pairs (u, v) with the m of their u. The u of a large component has many pairs, so beyond a broadcast they are salted."""
+def _with_low(pairs: DataFrame, low: DataFrame, few: bool, hub: int) -> DataFrame:
+    """pairs (u, v) with the m of their u; low: (u, m, n), n the pairs of u. Beyond `few`, only nodes of more than `hub` pairs are broadcast."""
     if few:
-        return pairs.join(F.broadcast(low), "u")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int"))
-    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))), ["u", "salt"]).drop("salt")
+        return pairs.join(F.broadcast(low.select("u", "m")), "u")
+    hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
+    split = pairs.join(hubs, "u", "left")
+    rest = split.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
+    return split.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest.select("u", "v", "m"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60, max_broadcast: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, max_broadcast: int = 20_000, hub: int = 512) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the component's smallest node.
 
     Alternating large and small stars: each round costs a few shuffles of the edges, and the number of
     rounds grows with the logarithm of the component's size. Each round is checkpointed. Up to max_broadcast edges, by a count, a node's
-    smallest neighbour is broadcast to them.
+    smallest neighbour is broadcast to them. Of more edges, only the nodes with over `hub` of them, a 256th of the edges at most, are broadcast, so
+    that no task gets all edges of one; the driver, which holds each broadcast of each round until it collects its garbage, has little to hold.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     few, print_ = edges.count() <= max_broadcast, None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _with_low(both, low, few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_low(large, low, few)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_low(both, low, few, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, few, hub)
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == print_:

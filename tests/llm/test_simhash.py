@@ -117,3 +117,15 @@ def test_empty_table_and_extra_columns(spark):
     one = spark.createDataFrame([(1, "x y z", "en", "s", 5, "clash", 3, "r")], SCHEMA + ", fp string, n int, root string")
     assert simhash.near_duplicates(one).count() == 1
     assert [tuple(r) for r in simhash.keep_one(one).collect()] == [(1, "x y z", "en", "s", 5, "clash", 3, "r")]
+
+
+def test_many_edges_send_little_to_the_driver(spark, monkeypatch):
+    """Beyond a few thousand edges only the nodes of very many edges are broadcast; before, all nodes of up to 200,000 edges were, in every round."""
+    sent, real = [], simhash.F.broadcast
+    monkeypatch.setattr(simhash.F, "broadcast", lambda df: sent.append(df.count()) or real(df))
+    pairs = [(10**6 + 2 * i, 10**6 + 2 * i + 1) for i in range(21_000)]
+    star, chain = [(5, 10_000 + i) for i in range(2_000)], [(100 + i, 101 + i) for i in range(12)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs + star + chain, "a long, b long")).collect()}
+    want = {b: a for a, b in pairs} | {b: 5 for _, b in star} | {b: 100 for _, b in chain}
+    assert {k: v for k, v in found.items() if k != v} == want
+    assert sum(sent) <= 100
