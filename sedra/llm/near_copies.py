@@ -1,10 +1,11 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash's pigeonhole blocks reach only fingerprints a few bits apart, and texts of that similarity are about ten of 64 bits apart, so
-candidates come from MinHash instead: 32 keys of 6 minima each; a pair of similarity 0.8 has no common key with a
-probability of 6e-5, one of 0.85 with less than 1e-7. Of each of the 192 minima one bit makes a fingerprint; documents
-of an equal key are linked if their fingerprints are within 42 bits (a pair of similarity 0.8 is further apart with a probability of 1e-7, one
-of 0.2 as near with 1e-6), and of these links a spanning forest stays. So passages that many documents share make no group.
+By SimHash, as in simhash, with wider fingerprints: 512 bits, each the majority of that bit in the hashes of the shingles (the
+first 64 are those of simhash.fingerprint over the set). Sets of similarity 0.8 have an angle of 27.3 degrees at most, so 15 % of their bits differ.
+Pigeonhole blocks: 36 disjoint blocks of 14 bits, in each of 4 orders of the bits; fingerprints within 35 bits agree in a block of every order, a
+pair of similarity 0.8 in none of the 144 with a probability of about 3e-5. Fingerprints that agree in a block are linked if they are within 66 of their first 256 bits
+(a pair of similarity 0.8 is further apart with a probability of 1e-6, one of 0.2 as near with 1e-5). Every pair of a block is compared,
+unless links found before join it already: of the links a spanning forest stays. So passages that many documents share make no group.
 The components of the links are candidate groups, in which all pairs are compared exactly, whether or not they share a key: a group is a component
 of the pairs that reach the similarity.
 
@@ -25,12 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, ship, texts
+from .common import cut, ship, texts
 from .simhash import SEED, components, labelled
 
-WIDTH, BANDS, ROWS, FAR, PIVOTS = 5, 32, 6, 42, 8
-_MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+WIDTH, WORDS, SENT, FAR, PIVOTS = 5, 8, 4, 66, 8
+ORDERS, BLOCKS, BITS = 4, 36, 14
+TABLES = ORDERS * BLOCKS
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, WORDS - 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = np.stack([np.random.default_rng([SEED, k]).permutation(64 * WORDS)[: BLOCKS * BITS] for k in range(ORDERS)])
+_ROW = np.dtype([("key", "<u2"), ("fp", "<i8"), ("bits", "<u8", SENT)])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -45,21 +50,22 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[WIDTH - 1 :].tolist())), np.uint64, n))
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one key for each band of minima, the fingerprint of one bit of each minimum as three words)."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 512):
-        low = np.minimum(low, (hashes[k : k + 512, None] * _MULTIPLIERS).min(axis=0))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        out = (out ^ column) * _P
-        out ^= out >> np.uint64(29)
-    bits = np.packbits((low * _P) >> np.uint64(63) == 1).view(np.uint64)
-    return out, bits
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of so many words: a bit is 1 if it is 1 in over half of the hashes, of which each word has its own."""
+    n, counts = len(hashes), np.zeros(64 * WORDS, np.int64)
+    for k in range(0, n, 255):
+        part = hashes[k : k + 255, None]
+        mixed = part * _MULTIPLIERS
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _P
+        mixed ^= mixed >> np.uint64(29)
+        octets = np.concatenate([part, mixed], axis=1).view(np.uint8)
+        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, fp, keys, b0, b1, b2, size): fp is a hash of the set of shingles; size: the text's characters."""
+    """(id, text_hash, fp, bits, size): fp is a hash of the set of shingles; bits: its fingerprint; size: the text's characters."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -67,44 +73,99 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = texts(b, text_col)
             sets = [shingles(t) for t in rows]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            made = [sketch(s) for s in sets]
-            flat = np.concatenate([k for k, _ in made]).view(np.int64) if sets else np.zeros(0, np.int64)
-            bits = np.array([x for _, x in made], np.uint64).reshape(-1, 3).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            words = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps), bands, *words, pa.array([len(t or "") for t in rows], pa.int64())], [id_col, "text_hash", "fp", "keys", "b0", "b1", "b2", "size"])
-
-    longs = [T.StructField(c, T.LongType()) for c in ("b0", "b1", "b2", "size")]
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), *longs])
+            bits = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps), bits, pa.array([len(t or "") for t in rows], pa.int64())], [id_col, "text_hash", "fp", "bits", "size"])
+
+    more = [T.StructField("bits", T.BinaryType()), T.StructField("size", T.LongType())]
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType()), *more])
     return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, out)
 
 
-def _near_keys(batches):
-    """Rows (key, fp, b0, b1, b2) sorted by key to links (a, b) of fingerprints within FAR bits.
+def _blocks(shares: int):
+    """Rows (fp, bits) to (bucket, packed rows of _ROW): a bucket is a block of an order, and one of so many shares of its values."""
+
+    def run(batches):
+        for x in batches:
+            n = x.num_rows
+            if not n:
+                continue
+            words = np.frombuffer(b"".join(x.column(1).to_pylist()), np.uint64).reshape(n, WORDS)
+            every = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            rows = np.empty(n, _ROW)
+            rows["fp"], rows["bits"] = x.column(0).to_numpy(zero_copy_only=False), words[:, :SENT]
+            for k, places in enumerate(_PLACES):
+                wide = np.zeros((n, BLOCKS, 16), np.uint8)
+                wide[:, :, :BITS] = every[:, places].reshape(n, BLOCKS, BITS)
+                keys = np.packbits(wide, axis=2, bitorder="little").reshape(n, BLOCKS * 2).view("<u2")
+                buckets, packed = [], []
+                for j in range(BLOCKS):
+                    rows["key"] = keys[:, j]
+                    share = keys[:, j] % shares
+                    order = np.argsort(share, kind="stable")
+                    ends = np.searchsorted(share[order], np.arange(shares + 1))
+                    for i in np.flatnonzero(np.diff(ends)).tolist():
+                        buckets.append((k * BLOCKS + j) * shares + i)
+                        packed.append(rows[order[ends[i] : ends[i + 1]]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+
+    return run
+
 
-    The first document of a key is a centre; each next one is linked to the nearest centre, or becomes one. Centres of a key are
-    further apart than FAR, so there are few, and each is 32 bytes.
+def link_keys(key: np.ndarray, bits: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the components of all pairs of an equal key within FAR bits. key: sorted.
+
+    First the first of each key meets all others of its key, then each row the next, the next but one, and so on, where they are not yet joined. Keys of
+    more than `most` rows are searched from row to row instead, among those that are not yet reached.
     """
-    key, fps, bits = None, [], np.zeros((64, 3), np.uint64)
-    for x in batches:
-        a, b = [], []
-        columns = [x.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        rows = np.stack(columns[2:], axis=1).view(np.uint64)
-        for k, fp, row in zip(columns[0].tolist(), columns[1].tolist(), rows):
-            if k != key:
-                key, fps = k, []
-            if fps:
-                far = np.bitwise_count(bits[: len(fps)] ^ row).sum(axis=1)
-                at = int(far.argmin())
-                if far[at] <= FAR:
-                    a.append(fps[at])
-                    b.append(fp)
-                    continue
-            if len(fps) == len(bits):
-                bits = np.concatenate([bits, np.zeros_like(bits)])
-            bits[len(fps)] = row
-            fps.append(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    n = len(key)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.zeros(0, np.int64)
+    runs = np.diff(np.append(starts, n))
+    first, label, out, word = np.repeat(starts, runs), np.arange(n), [], np.ascontiguousarray(bits[:, 0])
+
+    def near(a, b):
+        """Of the pairs (a, b) those within FAR; the first word alone rules out most (over 24 of 64 bits: 1e-6 at a similarity of 0.8)."""
+        good = np.bitwise_count(word[a] ^ word[b]) <= 24
+        a, b = a[good], b[good]
+        good = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= FAR
+        return a[good], b[good]
+
+    small = np.repeat(runs <= most, runs)
+    step, here = 0, np.flatnonzero(small & (np.arange(n) > first))
+    while len(here):
+        other = first[here] if step == 0 else here - step
+        if out:
+            apart = label[here] != label[other]
+            a, b = near(other[apart], here[apart])
+        else:
+            a, b = near(other, here)
+        if len(a):
+            out.append((a, b))
+            label[b] = label[a]
+            while (label != label[label]).any():
+                label = label[label]
+        step += 1
+        here = here[here - step >= first[here]]
+    for s, run in zip(starts[runs > most].tolist(), runs[runs > most].tolist()):
+        left = np.arange(s, s + run)
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                _, hit = near(np.full(len(left), x), left)
+                if len(hit):
+                    out.append((np.full(len(hit), x), hit))
+                    queue += hit.tolist()
+                    left = np.setdiff1d(left, hit, assume_unique=True)
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none)
+
+
+def _near_keys(bucket: pa.Table) -> pa.Table:
+    rows = np.frombuffer(b"".join(bucket.column("packed").to_pylist()), _ROW)
+    rows = rows[np.lexsort((rows["fp"], rows["key"]))]
+    fps = np.ascontiguousarray(rows["fp"])
+    a, b = link_keys(np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["bits"]))
+    return pa.table({"a": pa.array(fps[a], pa.int64()), "b": pa.array(fps[b], pa.int64())})
 
 
 def link_sets(sets: list[np.ndarray]) -> list[int]:
@@ -169,16 +230,17 @@ def _upto(n):
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 50_000, cap: int = 128, cap_chars: int = 1 << 21) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 50_000, cap: int = 128, cap_chars: int = 1 << 21, share: int = 1 << 16) -> DataFrame:
     """(id, text_hash, fp, component_id, n_component, first_hash) for each row of docs, as simhash.near_duplicates gives.
 
-    Up to max_broadcast candidates, by a count, go to the executors; more are joined by a shuffle of docs.
+    Up to max_broadcast candidates, by a count, go to the executors; more are joined by a shuffle of docs. A task compares about `share` fingerprints by one block at a time.
     """
     rows = cut(sketches(docs, id_col, text_col))
-    firsts = [F.first(c).alias(c) for c in ("keys", "b0", "b1", "b2", "size")]
+    firsts = [F.first(c).alias(c) for c in ("bits", "size")]
     each = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("low"), F.count("*").alias("n"), *firsts))
-    keyed = each.select(F.explode("keys").alias("key"), "fp", "b0", "b1", "b2").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "fp")
-    links = cut(keyed.mapInArrow(_near_keys, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times")))
+    shares = min(1 << BITS, each.count() // share + 1)
+    keyed = each.select("fp", "bits").mapInArrow(_blocks(shares), "bucket int, packed binary")
+    links = cut(keyed.groupBy("bucket").applyInArrow(_near_keys, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times")))
     stars = components(links)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(each, members["node"] == each["fp"]).select("fp", F.col("root").alias("__root"), F.col("low.id").alias("__id"), F.col("low.text_hash").alias("__hash"), "size")

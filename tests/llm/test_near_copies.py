@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from sedra.llm import near_copies as n
+from sedra.llm import simhash
 
 from .test_simhash import docs
 
@@ -66,3 +68,43 @@ def test_shared_passages_make_no_group(spark):
     texts = [" ".join("w%d" % rng.randrange(10**6) for _ in range(200)) + " " + passage for _ in range(300)]
     df = docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
     assert {r.component_id for r in n.near_copies(df).collect()} == set(range(300))
+
+
+def test_candidates_come_from_simhash():
+    """The fingerprint is the majority of the shingles' bits, and pairs of a similarity of 0.82 meet in a block and pass the Hamming check."""
+    rng = random.Random(7)
+    for words in (0, 1, 5, 6, 40, 700):
+        text = " ".join("w%d" % rng.randrange(10**6) for _ in range(words))
+        bits = n.sketch(n.shingles(text))
+        assert len(bits) == n.WORDS and (not words or int(bits[0]) == simhash.fingerprint(text, 5))
+    met, pairs = 0, 300
+    for _ in range(pairs):
+        base = " ".join("w%d" % rng.randrange(10**6) for _ in range(204))
+        words = base.split()
+        for i in range(10, 10 + 5 * 4, 5):  # four words apart: 20 of 200 shingles, and as many new ones
+            words[i] = "x%d" % rng.randrange(10**6)
+        a, b = (n.sketch(n.shingles(t)) for t in (base, " ".join(words)))
+        x, y = (np.unpackbits(s.view(np.uint8), bitorder="little") for s in (a, b))
+        assert np.bitwise_count(a[: n.SENT] ^ b[: n.SENT]).sum() <= n.FAR
+        met += any((x[p] == y[p]).reshape(n.BLOCKS, n.BITS).all(axis=1).any() for p in n._PLACES)
+    assert met == pairs
+
+
+def test_link_keys_equals_brute_force():
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 63, (6, n.SENT), np.uint64)
+    bits = centres[rng.integers(0, 6, 300)]
+    for _ in range(30):
+        bits[np.arange(300), rng.integers(0, n.SENT, 300)] ^= np.uint64(1) << rng.integers(0, 63, 300, np.uint64)
+    key = np.sort(rng.integers(0, 4, 300)).astype(np.uint16)
+
+    def groups(pairs):
+        label = list(range(300))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == k) for k in set(label)}
+
+    near = [(a, b) for a in range(300) for b in range(a) if key[a] == key[b] and np.bitwise_count(bits[a] ^ bits[b]).sum() <= n.FAR and np.bitwise_count(bits[a, 0] ^ bits[b, 0]) <= 24]
+    for most in (1024, 10):
+        pairs = list(zip(*n.link_keys(key, bits, most)))
+        assert set(pairs) <= {p for a, b in near for p in ((a, b), (b, a))} and groups(pairs) == groups(near)
