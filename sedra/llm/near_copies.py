@@ -5,7 +5,9 @@ first 64 are those of simhash.fingerprint over the set). Sets of similarity 0.8
 Pigeonhole blocks: 36 disjoint blocks of 14 bits, in each of 4 orders of the bits; fingerprints within 35 bits agree in a block of every order, a
 pair of similarity 0.8 in none of the 144 with a probability of about 3e-5. Fingerprints that agree in a block are linked if they are within 66 of their first 256 bits
 (a pair of similarity 0.8 is further apart with a probability of 1e-6, one of 0.2 as near with 1e-5). Every pair of a block is compared,
-unless links found before join it already: of the links a spanning forest stays. So passages that many documents share make no group.
+unless links found before join it already: of the links of a block a spanning forest stays, fewer than it has fingerprints. Since near copies agree in most
+blocks, the first HEAD blocks are searched alone; in the others a fingerprint goes by the name of its component so far, and only links
+between components count. So passages that many documents share make no group, and large groups are not linked anew by each block.
 The components of the links are candidate groups, in which all pairs are compared exactly, whether or not they share a key: a group is a component
 of the pairs that reach the similarity.
 
@@ -31,7 +33,7 @@ from .simhash import SEED, components, labelled
 
 WIDTH, WORDS, SENT, FAR, PIVOTS = 5, 8, 4, 66, 8
 ORDERS, BLOCKS, BITS = 4, 36, 14
-TABLES = ORDERS * BLOCKS
+TABLES, HEAD = ORDERS * BLOCKS, 12
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, WORDS - 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.stack([np.random.default_rng([SEED, k]).permutation(64 * WORDS)[: BLOCKS * BITS] for k in range(ORDERS)])
@@ -81,8 +83,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, out)
 
 
-def _blocks(shares: int):
-    """Rows (fp, bits) to (bucket, packed rows of _ROW): a bucket is a block of an order, and one of so many shares of its values."""
+def _blocks(shares: int, tables: range):
+    """Rows (fp, bits) to (bucket, packed rows of _ROW): a bucket is a block of an order, one of `tables`, and one of so many shares of its values."""
 
     def run(batches):
         for x in batches:
@@ -94,11 +96,14 @@ def _blocks(shares: int):
             rows = np.empty(n, _ROW)
             rows["fp"], rows["bits"] = x.column(0).to_numpy(zero_copy_only=False), words[:, :SENT]
             for k, places in enumerate(_PLACES):
+                mine = [j for j in range(BLOCKS) if k * BLOCKS + j in tables]
+                if not mine:
+                    continue
                 wide = np.zeros((n, BLOCKS, 16), np.uint8)
                 wide[:, :, :BITS] = every[:, places].reshape(n, BLOCKS, BITS)
                 keys = np.packbits(wide, axis=2, bitorder="little").reshape(n, BLOCKS * 2).view("<u2")
                 buckets, packed = [], []
-                for j in range(BLOCKS):
+                for j in mine:
                     rows["key"] = keys[:, j]
                     share = keys[:, j] % shares
                     order = np.argsort(share, kind="stable")
@@ -111,16 +116,19 @@ def _blocks(shares: int):
     return run
 
 
-def link_keys(key: np.ndarray, bits: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that span the components of all pairs of an equal key within FAR bits. key: sorted.
+def link_keys(key: np.ndarray, bits: np.ndarray, most: int = 1024, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs: a spanning forest of the components of all pairs of an equal key within FAR bits. key: sorted.
 
+    label: for each row the index of the first row that it is joined to from the start; without it each is alone. A pair joins two components
+    that neither the labels nor the other pairs join, so there are fewer pairs than labels.
     First the first of each key meets all others of its key, then each row the next, the next but one, and so on, where they are not yet joined. Keys of
     more than `most` rows are searched from row to row instead, among those that are not yet reached.
     """
     n = len(key)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.zeros(0, np.int64)
     runs = np.diff(np.append(starts, n))
-    first, label, out, word = np.repeat(starts, runs), np.arange(n), [], np.ascontiguousarray(bits[:, 0])
+    first, out, word = np.repeat(starts, runs), [], np.ascontiguousarray(bits[:, 0])
+    label = np.arange(n) if label is None else label.copy()
 
     def near(a, b):
         """Of the pairs (a, b) those within FAR; the first word alone rules out most (over 24 of 64 bits: 1e-6 at a similarity of 0.8)."""
@@ -133,29 +141,41 @@ def link_keys(key: np.ndarray, bits: np.ndarray, most: int = 1024) -> tuple[np.n
     step, here = 0, np.flatnonzero(small & (np.arange(n) > first))
     while len(here):
         other = first[here] if step == 0 else here - step
-        if out:
-            apart = label[here] != label[other]
-            a, b = near(other[apart], here[apart])
-        else:
-            a, b = near(other, here)
-        if len(a):
-            out.append((a, b))
-            label[b] = label[a]
+        apart = label[here] != label[other]
+        a, b = near(other[apart], here[apart])
+        while len(a):
+            # Each component takes one pair to a lower one, so that no pairs make a circle.
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            high, one = np.unique(high, return_index=True)
+            out.append((a[one], b[one]))
+            label[high] = low[one]
             while (label != label[label]).any():
                 label = label[label]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
         step += 1
         here = here[here - step >= first[here]]
     for s, run in zip(starts[runs > most].tolist(), runs[runs > most].tolist()):
         left = np.arange(s, s + run)
         while len(left):
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                _, hit = near(np.full(len(left), x), left)
+            root = label[left[0]]
+            mine, reached = label[left] == root, [np.zeros(0, np.int64)]
+            queue, left = left[mine], left[~mine]
+            while len(queue) and len(left):
+                if len(queue) > len(left):  # all of the queue meets one after the other of the few that are left
+                    found, queue = [near(queue, np.full(len(queue), y)) for y in left.tolist()], queue[:0]
+                    a, hit = (np.concatenate([f[i][:1] for f in found]) for i in (0, 1))
+                else:
+                    a, hit = near(np.full(len(left), queue[-1]), left)
+                    queue = queue[:-1]
                 if len(hit):
-                    out.append((np.full(len(hit), x), hit))
-                    queue += hit.tolist()
-                    left = np.setdiff1d(left, hit, assume_unique=True)
+                    roots, one = np.unique(label[hit], return_index=True)
+                    out.append((a[one], hit[one]))
+                    reached.append(roots)
+                    joined = np.isin(label[left], roots)
+                    queue, left = np.concatenate([queue, left[joined]]), left[~joined]
+            label[np.concatenate(reached)] = root
+            label = label[label]
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none)
 
@@ -164,10 +184,32 @@ def _near_keys(bucket: pa.Table) -> pa.Table:
     rows = np.frombuffer(b"".join(bucket.column("packed").to_pylist()), _ROW)
     rows = rows[np.lexsort((rows["fp"], rows["key"]))]
     fps = np.ascontiguousarray(rows["fp"])
-    a, b = link_keys(np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["bits"]))
+    _, start, which = np.unique(fps, return_index=True, return_inverse=True)  # rows of one name are joined
+    a, b = link_keys(np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["bits"]), label=start[which])
     return pa.table({"a": pa.array(fps[a], pa.int64()), "b": pa.array(fps[b], pa.int64())})
 
 
+def _block_links(named: DataFrame, shares: int, tables: range) -> DataFrame:
+    """(a, b, times): links between the names in fp that these blocks show, and how many of them show each."""
+    keyed = named.select("fp", "bits").mapInArrow(_blocks(shares, tables), "bucket int, packed binary")
+    return cut(keyed.groupBy("bucket").applyInArrow(_near_keys, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times")))
+
+
+def candidates(each: DataFrame, share: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """For distinct fp with their bits, links (a, b, times, later) that span the candidate groups, and (node, root) of the groups.
+
+    times: the first blocks that show the link; later: the other blocks that do, where a and b are the smallest fingerprints of what the first blocks join.
+    """
+    shares = min(1 << BITS, each.count() // share + 1)
+    head = _block_links(each, shares, range(HEAD))
+    stars = components(head)
+    named = each.join(stars, each["fp"] == stars["node"], "left").select(F.coalesce("root", "fp").alias("fp"), "bits")
+    tail = _block_links(named, shares, range(HEAD, TABLES))
+    none = F.lit(0).cast("long")
+    links = head.select("a", "b", "times", none.alias("later")).unionByName(tail.select("a", "b", none.alias("times"), F.col("times").alias("later")))
+    return links, components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tail.select("a", "b")))
+
+
 def link_sets(sets: list[np.ndarray]) -> list[int]:
     """The component of each set over all pairs of a similarity of 0.8 or more, by the index of one member.
 
@@ -238,10 +280,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(sketches(docs, id_col, text_col))
     firsts = [F.first(c).alias(c) for c in ("bits", "size")]
     each = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("low"), F.count("*").alias("n"), *firsts))
-    shares = min(1 << BITS, each.count() // share + 1)
-    keyed = each.select("fp", "bits").mapInArrow(_blocks(shares), "bucket int, packed binary")
-    links = cut(keyed.groupBy("bucket").applyInArrow(_near_keys, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times")))
-    stars = components(links)
+    links, stars = candidates(each, share)
     members = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(each, members["node"] == each["fp"]).select("fp", F.col("root").alias("__root"), F.col("low.id").alias("__id"), F.col("low.text_hash").alias("__hash"), "size")
     groups = members.groupBy("__root").agg(F.count("*").alias("many"), F.sum("size").alias("chars"))
@@ -256,8 +295,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return labelled(rows.select(id_col, "text_hash", "fp"), each.select("fp", "low", "n"), linked, id_col)
     bodies = cut(bodies.select("*", (F.col("parts") > 1).alias("split")))
     # The pivots of a split group are the documents that most others were linked to; the first of them names the group's main component.
-    degree = links.groupBy(F.col("a").alias("fp")).agg(F.sum("times").alias("times")).join(members.where("parts > 1").select("fp", "__root"), "fp")
-    ranked = degree.withColumn("k", F.row_number().over(Window.partitionBy("__root").orderBy(F.desc("times"), "fp")))
+    # Links of later blocks are between components, so those of the first blocks come before them.
+    degree = links.groupBy(F.col("a").alias("fp")).agg(F.sum("times").alias("times"), F.sum("later").alias("later")).join(members.where("parts > 1").select("fp", "__root"), "fp")
+    ranked = degree.withColumn("k", F.row_number().over(Window.partitionBy("__root").orderBy(F.desc("times"), F.desc("later"), "fp")))
     ranked = cut(ranked.where(F.col("k") <= PIVOTS).select(F.col("__root").alias("r"), F.col("fp").alias("pivot"), "k"))
     pivots = bodies.join(ranked, (bodies["__root"] == ranked["r"]) & (bodies["fp"] == ranked["pivot"])).select(bodies["__root"], "fp", "body", _upto(F.col("parts")).alias("part"))
     pivot = ranked.where("k = 1").select(F.col("r").alias("__root"), "pivot")

@@ -108,3 +108,45 @@ def test_link_keys_equals_brute_force():
     for most in (1024, 10):
         pairs = list(zip(*n.link_keys(key, bits, most)))
         assert set(pairs) <= {p for a, b in near for p in ((a, b), (b, a))} and groups(pairs) == groups(near)
+
+
+def roots(count, pairs):
+    """The smallest index of each component, and how many pairs joined two of them."""
+    root, joined = list(range(count)), 0
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        joined += a != b
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root, joined
+
+
+def chained(rng, many):
+    """One text with 6 changed words in each copy: many copies are only joined by others between them."""
+    base = " ".join("w%d" % rng.randrange(10**6) for _ in range(150))
+    return [edited(rng, base, 6) for _ in range(many)]
+
+
+def test_links_of_a_block_are_a_forest():
+    """No pair joins what other pairs or the labels join already, in any way of searching, and the groups are those of brute force."""
+    bits = np.stack([n.sketch(n.shingles(t))[: n.SENT] for t in chained(random.Random(9), 300)])
+    key = np.sort(np.random.default_rng(9).integers(0, 3, 300)).astype(np.uint16)
+    near = [(a, b) for a in range(300) for b in range(a) if key[a] == key[b] and np.bitwise_count(bits[a] ^ bits[b]).sum() <= n.FAR and np.bitwise_count(bits[a, 0] ^ bits[b, 0]) <= 24]
+    some = [k - k % 3 for k in range(300)]  # three rows each go by one name
+    for most in (1024, 10):
+        pairs = list(zip(*n.link_keys(key, bits, most)))
+        root, joined = roots(300, pairs)
+        assert joined == len(pairs) and root == roots(300, near)[0]
+        more = list(zip(*n.link_keys(key, bits, most, label=np.array(some))))
+        root, joined = roots(300, [*enumerate(some), *more])
+        assert joined == len(more) + 200 and root == roots(300, [*enumerate(some), *near])[0]
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark):
+    """The blocks of a group of near copies give a few links for each of them, which join the group as all blocks do."""
+    texts = chained(random.Random(10), 600)
+    for many in (300, 600):
+        each = n.sketches(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts[:many])]), "doc_id", "text").select("fp", "bits").distinct()
+        links, stars = n.candidates(each)
+        links = links.collect()
+        assert sum(r.times + r.later for r in links) <= n.HEAD * many
+        assert len({r.root for r in stars.collect()}) == 1 and {r.root for r in stars.collect()} == {min(r.fp for r in each.collect())}
