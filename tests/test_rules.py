@@ -164,3 +164,10 @@ def test_json_and_judges(spark):
     out = lambda **k: [r.x for r in q.select(pipeline.routed(F.col("route"), say("near"), **k)(F.lit(None)).alias("x")).collect()]
     assert out() == ["near", "near"] and out(cloud=say("far")) == ["far", "near"] and out(cloud=say("far"), mode="cloud") == ["far", "far"]
     assert out(cloud=lambda m: F.lit(None).cast("string")) == ["near", "near"]
+
+
+def test_matrix_of_several_arrays_in_a_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "a", "n": 1},\n {"id": "b"}]\n[{"id": "ć", "n": 2}]\n', encoding="utf-8")
+    (tmp_path / "b.json").write_text('\ufeff[\n]\n[{"id": "d", "tags": ["x, ]["]}]', encoding="utf-8")
+    got = sorted((r.id, r.n, r.tags) for r in evaluate.load_matrix(spark, str(tmp_path)).collect())
+    assert got == [("a", 1, None), ("b", None, None), ("d", None, ["x, ]["]), ("ć", 2, None)]
