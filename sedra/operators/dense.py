@@ -20,19 +20,60 @@ from ..plans.stages import ship, staged
 
 METRICS = ("cosine", "ip", "l2")
 
+#: Scores, and numbers of vectors, that a Python worker holds at once; queries of a block that it takes at once.
+SCORES_AT_ONCE, NUMBERS_AT_ONCE, QUERIES_AT_ONCE = 500_000, 1_000_000, 256
+
 
 def similarity(metric: str, distance: Column) -> Column:
     """A store's distance as a similarity."""
     return 1.0 - distance if metric == "cosine" else -distance
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A row for each query, a column for each vector; for cosine both are of unit length."""
     if metric == "l2":
-        return -np.sqrt(np.maximum(0.0, (x**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2.0 * x @ q.T))
-    if metric == "cosine":
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    return x @ q.T
+        return -np.sqrt(np.maximum(0.0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2.0 * q @ x.T))
+    return q @ x.T
+
+
+def _best(metric: str, k: int, names: list, matrix):
+    """Of each partition the k best vectors for each query. matrix: a broadcast of the queries' vectors."""
+
+    def run(batches):
+        asked = _unit(matrix.value) if metric == "cosine" else matrix.value
+        best: dict = {}
+        # The last of a query's k best so far: what scores less by more than the rounding is not looked at again.
+        floor = np.full(len(names), -np.inf)
+        rows_at_once = max(1, min(SCORES_AT_ONCE // min(len(names), QUERIES_AT_ONCE), NUMBERS_AT_ONCE // max(1, asked.shape[1])))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                b = whole.slice(start, rows_at_once)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                x = _unit(x) if metric == "cosine" else x
+                for first in range(0, len(names), QUERIES_AT_ONCE):
+                    for j, scores in enumerate(_scores(metric, x, asked[first : first + QUERIES_AT_ONCE]), first):
+                        at = np.flatnonzero(scores >= floor[j] - max(1e-6, 1e-12 * abs(floor[j])))
+                        if not len(at):
+                            continue
+                        i, v = ids[at], np.round(scores[at], 6) + 0.0  # no negative zeros
+                        if len(v) > k:
+                            at = np.flatnonzero(v >= np.partition(v, -k)[-k])
+                            i, v = i[at], v[at]
+                        if j in best:
+                            i, v = np.concatenate([best[j][0], i]), np.concatenate([best[j][1], v])
+                        order = np.lexsort((i, -v))[:k]
+                        best[j] = i[order], v[order]
+                        if len(order) == k:
+                            floor[j] = v[order[-1]]
+        for j, (i, v) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(i)), pa.array(i), pa.array(v)], ["query", "id", "score"])
+
+    return run
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "embedding", keep: Column | None = None, block: int = 4096) -> DataFrame:
@@ -50,28 +91,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
     kinds = asked.schema["query"].dataType, rows.schema["id"].dataType
     out = T.StructType([T.StructField("query", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
 
-    def local(names, matrix):
-        def run(batches):
-            best: dict = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                s = np.round(_scores(metric, x, matrix.value), 6) + 0.0  # no negative zeros
-                for j in range(len(names)):
-                    c = s[:, j]
-                    at = np.flatnonzero(c >= np.partition(c, -k)[-k]) if len(c) > k else np.arange(len(c))
-                    i, v = ids[at], c[at]
-                    if j in best:
-                        i, v = np.concatenate([best[j][0], i]), np.concatenate([best[j][1], v])
-                    order = np.lexsort((i, -v))[:k]
-                    best[j] = i[order], v[order]
-            for j, (i, v) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(i)), pa.array(i), pa.array(v)], ["query", "id", "score"])
-
-        return run
-
     # Blocks by a hash of the query: half full on average, so that hardly any exceeds `block`; those that do are cut on the driver.
     asked = staged(asked)
     n, lists = asked.count(), []
@@ -81,7 +100,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
         for at in range(0, len(got), block):
             some = got[at : at + block]
             matrix = spark.sparkContext.broadcast(np.array([r.v for r in some], np.float64))
-            lists.append(rows.mapInArrow(local([r["query"] for r in some], matrix), out))
+            lists.append(rows.mapInArrow(_best(metric, k, [r["query"] for r in some], matrix), out))
     if not lists:
         return spark.createDataFrame([], T.StructType([*out.fields[:2], T.StructField("rank", T.IntegerType()), out.fields[2]]))
     every = reduce(DataFrame.unionByName, lists)

@@ -99,6 +99,31 @@ def test_knn(spark):
         dense.add(df, new).collect()
 
 
+def test_knn_holds_few_scores_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    vs = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(90)]  # many ties
+    df = spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>").coalesce(2)
+    asked = df.where("vec_id < 30").select(F.col("vec_id").alias("query"), "embedding")
+    made = []
+    whole = dense._scores
+    monkeypatch.setattr(dense, "_scores", lambda metric, x, q: made.append(len(x) * len(q)) or whole(metric, x, q))
+    for name, most in (("SCORES_AT_ONCE", 24), ("QUERIES_AT_ONCE", 4)):
+        monkeypatch.setattr(dense, name, most)
+    for metric in dense.METRICS:
+        score = {"ip": lambda a, b: sum(x * y for x, y in zip(a, b)), "l2": lambda a, b: -math.dist(a, b), "cosine": lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b) or 1)}[metric]
+        local = dense.knn(df, asked, 5, metric).collect()
+        for q in range(30):
+            best = sorted(range(90), key=lambda i: (-round(score(vs[q], vs[i]), 6), i))[:5]
+            assert [r.id for r in sorted((r for r in local if r["query"] == q), key=lambda r: r["rank"])] == best
+    import numpy as np
+    import pyarrow as pa
+
+    shared = type("Shared", (), {"value": np.array(vs[:30])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(90)), pa.array(vs)], ["id", "v"])
+    got = {(r["query"], r["id"]) for b in dense._best("ip", 5, list(range(30)), shared)([batch]) for r in b.to_pylist()}
+    assert made and max(made) <= 24 and got == {(r["query"], r["id"]) for r in dense.knn(df, asked, 5, "ip").collect()}
+
+
 def test_vector_table(spark, tmp_path):
     t = dense.VectorTable(spark, str(tmp_path / "v"))
     df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>")
