@@ -171,3 +171,19 @@ def test_matrix_of_several_arrays_in_a_file(spark, tmp_path):
     (tmp_path / "b.json").write_text('\ufeff[\n]\n[{"id": "d", "tags": ["x, ]["]}]', encoding="utf-8")
     got = sorted((r.id, r.n, r.tags) for r in evaluate.load_matrix(spark, str(tmp_path)).collect())
     assert got == [("a", 1, None), ("b", None, None), ("d", None, ["x, ]["]), ("ć", 2, None)]
+
+
+def test_chunks_are_handed_on_in_small_batches(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    texts = ["Điều 1. Whole\n" + "\n".join(f"{i}. clause {i} of {d}" for i in range(1, 40)) for d in range(20)] + [None, "", "Điều 2. One\n1. " + "x" * 500]
+    batch = pa.RecordBatch.from_pylist([{"source_doc": "S", "doc_short": f"D{d}", "text": t} for d, t in enumerate(texts)])
+    run = chunk._chunker(chunk.Options(), to_arrow_schema(T.StructType.fromDDL(chunk.CHUNK_SCHEMA)))
+    whole = [r for b in run([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(chunk, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(chunk, "CHARS_AT_ONCE", 60)
+    got = [*run([batch, batch.slice(0, 0)])]
+    assert max(b.num_rows for b in got) <= 7 and all(sum(b.column("char_count").to_pylist()[:-1]) < 60 for b in got)
+    assert [r for b in got for r in b.to_pylist()] == whole
+    assert whole == [r | {"seq": i} for d, t in enumerate(texts) for i, r in enumerate(chunk.parse(t, "S", f"D{d}"))] and len(whole) > 700
