@@ -101,7 +101,7 @@ def register(name: str, sql: str | None = None):
 
 @register("tokenize_tf", f"WITH {CORPUS_SQL} SELECT doc, term, tf FROM tf")
 def tokenize_tf(spark, sf_dir):
-    return bm25.build_index(docs_of(spark, sf_dir)).tf
+    return bm25.term_frequencies(bm25.tokenised(docs_of(spark, sf_dir), "doc_id", "text"))
 
 
 @register("bm25_idf", f"WITH {CORPUS_SQL}, {IDF_SQL['okapi']} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) + 0.0 AS idf FROM idf")

@@ -244,3 +244,48 @@ def test_search_in_parts_equals_one_search(spark, corpus, monkeypatch):
     assert sorted(map(tuple, bm25.search(index, queries, 7).collect())) == whole and len({r[0] for r in whole}) == 13
     two = bm25.search_runs(docs, queries, [(3, bm25.Bm25()), (5, bm25.Bm25("l"))])
     assert [sorted(map(tuple, x.collect())) for x in two] == [sorted(map(tuple, bm25.search_text(docs, queries, k, m).collect())) for k, m in ((3, bm25.Bm25()), (5, bm25.Bm25("l")))]
+
+
+def test_term_frequencies_are_counted_without_a_shuffle(spark, corpus):
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(corpus)] + [(98, ""), (99, None)], "doc_id long, text string")
+    tf = bm25.build_index(docs).tf
+    want = sorted((i, t, n) for i, d in enumerate(corpus) for t, n in Counter(d).items())
+    assert sorted(map(tuple, tf.collect())) == want
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_index_is_searched_without_shuffling_documents(spark, corpus, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(corpus)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "a b b"), (1, "zz")], "query_id long, text string")
+    bm25.save_index(bm25.build_index(docs), str(tmp_path / "i"))
+    index = bm25.load_index(spark, str(tmp_path / "i"))
+    for found in (bm25.search(index, queries, 5), bm25.search(bm25.build_index(docs), queries, 5)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan  # the k best of each partition meet by query
+    assert bm25.search(index, queries.where("query_id = 1"), 5, pad_zero=False).count() == 0
+    assert bm25.search(index, queries, 5, docs=docs.where("doc_id < 3").select(F.col("doc_id").alias("doc"))).count() == 6
+
+
+def test_scorer_holds_few_tokens_and_postings_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))] for _ in range(50)] + [[]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(51)), pa.array([len(t) for t in texts]), pa.array(texts, pa.list_(pa.string()))], ["doc", "dl", "terms"])
+    known = [{"query": q, "term": t, "qf": 1, "idf_0": 0.5 + q, "idf_1": 1.0} for q in range(9) for t in "abcdz"[q % 3 :]]
+    blocks = []
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 4)
+    for block in bm25._blocks(known, [20]):
+        rows = sorted((r for r in known if r["query"] in block), key=lambda r: r["term"])
+        terms = sorted({r["term"] for r in rows})
+        first = np.cumsum([0] + [sum(r["term"] == t for r in rows) for t in terms])
+        blocks.append((block, terms, first, np.array([block.index(r["query"]) for r in rows], np.int64), [np.array([r[f"idf_{i}"] for r in rows], float) for i in (0, 1)]))
+    shared = type("Shared", (), {"value": blocks})
+    run = lambda: sorted(tuple(r.values()) for b in bm25._scorer(shared, pa.int64(), 12.0, [(3, bm25.Bm25()), (6, bm25.Bm25("l"))], True)([batch]) for r in b.to_pylist())
+    whole, seen, bincount = run(), [], np.bincount
+    assert len(whole) == 10 * 9
+    monkeypatch.setattr(np, "bincount", lambda x, **more: seen.append(len(x)) or bincount(x, **more))
+    monkeypatch.setattr(bm25, "TOKENS_AT_ONCE", 90)
+    monkeypatch.setattr(bm25, "POSTINGS_AT_ONCE", 25)
+    assert run() == whole and max(seen) <= 32  # 8 terms, 4 queries: a single document can meet so many
