@@ -241,8 +241,10 @@ def table_chunks(spark, sf_dir):
 
 def embedded(text):
     """A stand-in for an embedding model: how many tokens fall into each of 16 classes by their md5."""
-    first = F.transform(tokens(text), lambda t: F.substring(F.md5(t), 1, 1))
-    return F.transform(F.split(F.lit("0123456789abcdef"), ""), lambda d: F.size(F.filter(first, lambda x: x == d)).cast("double"))
+    first = F.array_join(F.transform(tokens(text), lambda t: F.substring(F.md5(t), 1, 1)), "")
+    # As the variable of a lambda the text of first characters is made once, not once for each class.
+    counts = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(d), F.lit("")))).cast("double") for d in "0123456789abcdef"])
+    return F.transform(F.array(first), counts)[0]
 
 
 _VECTOR = "list_transform(string_split('0123456789abcdef', ''), lambda d: len(list_filter({0}, lambda x: x = d))::DOUBLE)"
