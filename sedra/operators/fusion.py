@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import staged
+
 
 def _weight(weights: Sequence[float] | None) -> Column:
     if weights is None:
@@ -57,7 +59,8 @@ def hydrate(fused: DataFrame, chunks: DataFrame, k: int, key: str = "doc") -> Da
 
 
 def hybrid(bm25: DataFrame, dense: DataFrame, k: int = 10, rrf_k: int = 60, weights: Sequence[float] | None = None) -> DataFrame:
-    """Two ranked lists (query, doc, rank) fused, cut at k, with provenance. An arm may be an empty table."""
+    """Two ranked lists (query, doc, rank) fused, cut at k, with provenance. An arm may be an empty table. Both are read twice, and staged."""
+    bm25, dense = (staged(x.select("query", "doc", "rank")) for x in (bm25, dense))
     lists = bm25.select("query", "doc", "rank").withColumn("list_id", F.lit(0)).unionByName(dense.select("query", "doc", "rank").withColumn("list_id", F.lit(1)))
     return provenance(rrf(lists, rrf_k, weights, 2).where(F.col("rank") <= k), bm25, dense)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped, tokens
 from ..operators import bm25, cite, dense, fusion, prompt, query, rerank, tag
-from .stages import staged
+from .stages import few, staged
 
 Embedder = Callable[[Column], Column]
 Generator = Callable[[Column], Column]
@@ -67,17 +67,17 @@ def answer(questions: DataFrame, chunks: DataFrame, settings: Settings = Setting
             docs = docs.withColumn(c, F.lit(None).cast("string"))
     docs = docs.withColumn("doc", F.col("chunk_id")).withColumn("rerank_text", tag.rerank_text()).withColumn("embed_text", tag.embed_text())
     index = bm25.build_index(docs, "doc", "embed_text")
-    index = bm25.Index(tf=staged(index.tf), doclen=staged(index.doclen), idf=staged(index.idf), stats=staged(index.stats))
     each = q.select("query_id", F.posexplode("intents").alias("intent", "question"), (F.size("intents") > 1).alias("compound"))
     each = each.withColumn("sub", F.concat_ws("#", F.col("query_id").cast("string"), F.col("intent").cast("string")))
     hits = retrieve(each.select(F.col("sub").alias("query_id"), F.col("question").alias("text")), index, settings, vectors, embedder)
-    candidates = staged(hits).join(docs.select("doc", "rerank_text"), "doc").join(each.select(F.col("sub").alias("query"), "question", "query_id", "intent", "compound"), "query")
+    candidates = few(hits).join(docs.select("doc", "rerank_text"), "doc").join(each.select(F.col("sub").alias("query"), "question", "query_id", "intent", "compound"), "query")
+    candidates = staged(candidates)
     best = staged(rerank.rerank(candidates, predictor, settings.final_top_k))
     many = rerank.low_confidence_fallback(candidates.where("compound"), best.where("compound"), settings.intent_keep, settings.floor)
     keep = ["query", "intent", "doc", "rank", "cross_encoder_score"]
     merged = rerank.merge_intents(many.select(F.col("query_id").alias("query"), *keep[1:]), settings.final_top_k).select("query", "doc", "cross_encoder_score", F.col("position").alias("rank"))
     single = best.where(~F.col("compound")).select(F.col("query_id").alias("query"), "doc", "cross_encoder_score", "rank")
-    sources = staged(merged.unionByName(single).withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy("rank"))))
+    sources = few(merged.unionByName(single).withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy("rank"))))
     gated = rerank.gate(sources, q.select(F.col("query_id").alias("query")), settings.min_score)
     full = staged(sources.join(docs, "doc"))
     listed = sources.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "doc"))), lambda x: x["doc"]).alias("sources"))
